@@ -50,7 +50,7 @@ def query(sql: str | None = None):
     return add
 
 
-def rounded(v: Value, places: int = 4) -> Value:
+def rounded(v: Value, places: int = 9) -> Value:
     return Value(F.round(v.col, places), v.type, owner=v.owner)
 
 
@@ -61,7 +61,7 @@ def agg(name: str):
 # --- sources ----------------------------------------------------------------------------------------------------------
 
 
-@query(f"""SELECT event_type, {NS.format("date_trunc('day', ts)")} AS day, count(*) AS n, round(avg(value), 4) AS mean_value, round(min(value), 4) AS min_value, round(max(value), 4) AS max_value
+@query(f"""SELECT event_type, {NS.format("date_trunc('day', ts)")} AS day, count(*) AS n, round(avg(value), 9) AS mean_value, round(min(value), 9) AS min_value, round(max(value), 9) AS max_value
 FROM events GROUP BY ALL""")
 def flagship_events_per_day(e):
     df = e.table("events", ["time_", "event_type", "value"])
@@ -145,7 +145,7 @@ def assign_const(e):
     return df
 
 
-@query("SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 4) AS charge FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 9) AS charge FROM lineitem")
 def assign_expr(e):
     df = e.table("lineitem", ["l_orderkey", "l_linenumber", "l_extendedprice", "l_discount", "l_tax"])
     df["charge"] = rounded(df["l_extendedprice"] * (1 - df["l_discount"]) * (1 + df["l_tax"]))
@@ -237,10 +237,10 @@ def ext_anti(e):
 # --- aggregation ------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT count(*) AS n, round(sum(l_extendedprice), 2) AS total, round(avg(l_quantity), 6) AS mean_qty, min(l_tax) AS min_tax, max(l_discount) AS max_discount FROM lineitem")
+@query("SELECT count(*) AS n, round(sum(l_extendedprice), 2) AS total, round(avg(l_quantity), 9) AS mean_qty, min(l_tax) AS min_tax, max(l_discount) AS max_discount FROM lineitem")
 def agg_none(e):
     out = e.table("lineitem").agg(n=("l_orderkey", agg("count")), total=("l_extendedprice", agg("sum")), mean_qty=("l_quantity", agg("mean")), min_tax=("l_tax", agg("min")), max_discount=("l_discount", agg("max")))
-    out["total"], out["mean_qty"] = rounded(out["total"], 2), rounded(out["mean_qty"], 6)
+    out["total"], out["mean_qty"] = rounded(out["total"], 2), rounded(out["mean_qty"], 9)
     return out
 
 
@@ -251,10 +251,10 @@ def agg_group(e):
     return out
 
 
-@query("SELECT l_returnflag, l_linestatus, round(avg(l_discount), 6) AS disc, max(l_suppkey) AS supp FROM lineitem GROUP BY ALL")
+@query("SELECT l_returnflag, l_linestatus, round(avg(l_discount), 9) AS disc, max(l_suppkey) AS supp FROM lineitem GROUP BY ALL")
 def agg_multi_key(e):
     out = e.table("lineitem", ["l_returnflag", "l_linestatus", "l_discount", "l_suppkey"]).groupby(["l_returnflag", "l_linestatus"]).agg(disc=("l_discount", agg("mean")), supp=("l_suppkey", agg("max")))
-    out["disc"] = rounded(out["disc"], 6)
+    out["disc"] = rounded(out["disc"], 9)
     return out
 
 
@@ -268,12 +268,12 @@ def agg_any(e):
     return e.table("customer", ["c_custkey", "c_name"]).groupby("c_custkey").agg(name=("c_name", agg("any")))
 
 
-@query("SELECT event_type, sum((value > 50.0)::BIGINT)::BIGINT AS large, round(avg((value > 50.0)::INT), 6) AS share FROM events GROUP BY ALL")
+@query("SELECT event_type, sum((value > 50.0)::BIGINT)::BIGINT AS large, round(avg((value > 50.0)::INT), 9) AS share FROM events GROUP BY ALL")
 def agg_bool(e):
     df = e.table("events", ["event_type", "value"])
     df["large"] = df["value"] > 50.0
     out = df.groupby("event_type").agg(large=("large", agg("sum")), share=("large", agg("mean")))
-    out["share"] = rounded(out["share"], 6)
+    out["share"] = rounded(out["share"], 9)
     return out
 
 
@@ -582,18 +582,18 @@ def stream_filter(e):
 # --- composites in the shapes of TPC-H ---------------------------------------------------------------------------------
 
 
-@query("""SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(avg(l_quantity), 4) AS avg_qty, count(*) AS n
+@query("""SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(sum(l_extendedprice * (1 - l_discount)), 6) AS sum_disc, round(avg(l_quantity), 9) AS avg_qty, count(*) AS n
 FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL""")
 def tpch_q1(e):
     df = e.table("lineitem", ["l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", "l_discount", "time_"], end_time="1998-09-02")
     df["disc"] = df["l_extendedprice"] * (1 - df["l_discount"])
     out = df.groupby(["l_returnflag", "l_linestatus"]).agg(sum_qty=("l_quantity", agg("sum")), sum_base=("l_extendedprice", agg("sum")), sum_disc=("disc", agg("sum")), avg_qty=("l_quantity", agg("mean")), n=("l_quantity", agg("count")))
-    for c, places in (("sum_qty", 2), ("sum_base", 2), ("sum_disc", 2), ("avg_qty", 4)):
+    for c, places in (("sum_qty", 2), ("sum_base", 2), ("sum_disc", 6), ("avg_qty", 9)):
         out[c] = rounded(out[c], places)
     return out
 
 
-@query("""SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
+@query("""SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 6) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
 WHERE c_mktsegment = 'BUILDING' GROUP BY l_orderkey""")
 def tpch_q3(e):
     c = e.table("customer", ["c_custkey", "c_mktsegment"])
@@ -601,11 +601,11 @@ def tpch_q3(e):
     df = o.merge(e.table("lineitem", ["l_orderkey", "l_extendedprice", "l_discount"]), "inner", "o_orderkey", "l_orderkey")
     df["revenue"] = df["l_extendedprice"] * (1 - df["l_discount"])
     out = df.groupby("l_orderkey").agg(revenue=("revenue", agg("sum")))
-    out["revenue"] = rounded(out["revenue"], 2)
+    out["revenue"] = rounded(out["revenue"], 6)
     return out
 
 
-@query("""SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey
+@query("""SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 6) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey
 JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' GROUP BY ALL""")
 def tpch_q5(e):
     r = e.table("region", ["r_regionkey", "r_name"])
@@ -616,21 +616,21 @@ def tpch_q5(e):
     df = li.merge(o, "inner", ["l_orderkey", "s_nationkey"], ["o_orderkey", "c_nationkey"])
     df["revenue"] = df["l_extendedprice"] * (1 - df["l_discount"])
     out = df.groupby("n_name").agg(revenue=("revenue", agg("sum")))
-    out["revenue"] = rounded(out["revenue"], 2)
+    out["revenue"] = rounded(out["revenue"], 6)
     return out
 
 
-@query("SELECT round(coalesce(sum(l_extendedprice * l_discount), 0), 2) AS revenue FROM lineitem WHERE l_shipdate >= TIMESTAMP '1994-01-01' AND l_shipdate <= TIMESTAMP '1994-12-31' AND l_discount >= 0.05 AND l_discount <= 0.07 AND l_quantity < 24")
+@query("SELECT round(coalesce(sum(l_extendedprice * l_discount), 0), 6) AS revenue FROM lineitem WHERE l_shipdate >= TIMESTAMP '1994-01-01' AND l_shipdate <= TIMESTAMP '1994-12-31' AND l_discount >= 0.05 AND l_discount <= 0.07 AND l_quantity < 24")
 def tpch_q6(e):
     df = e.table("lineitem", ["l_extendedprice", "l_discount", "l_quantity", "time_"], "1994-01-01", "1994-12-31")
     df = df[(df["l_discount"] >= 0.05) & (df["l_discount"] <= 0.07) & (df["l_quantity"] < 24)]
     df["revenue"] = df["l_extendedprice"] * df["l_discount"]
     out = df.agg(revenue=("revenue", agg("sum")))
-    out["revenue"] = rounded(out["revenue"], 2)
+    out["revenue"] = rounded(out["revenue"], 6)
     return out
 
 
-@query("""SELECT c_custkey, c_name, n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN nation ON c_nationkey = n_nationkey
+@query("""SELECT c_custkey, c_name, n_name, round(sum(l_extendedprice * (1 - l_discount)), 6) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN nation ON c_nationkey = n_nationkey
 WHERE l_returnflag = 'R' GROUP BY ALL""")
 def tpch_q10(e):
     li = e.table("lineitem", ["l_orderkey", "l_extendedprice", "l_discount", "l_returnflag"])
@@ -639,5 +639,5 @@ def tpch_q10(e):
     df = li.merge(e.table("orders", ["o_orderkey", "o_custkey"]), "inner", "l_orderkey", "o_orderkey").merge(c, "inner", "o_custkey", "c_custkey")
     df["revenue"] = df["l_extendedprice"] * (1 - df["l_discount"])
     out = df.groupby(["c_custkey", "c_name", "n_name"]).agg(revenue=("revenue", agg("sum")))
-    out["revenue"] = rounded(out["revenue"], 2)
+    out["revenue"] = rounded(out["revenue"], 6)
     return out
