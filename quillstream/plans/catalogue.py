@@ -5,7 +5,7 @@ Every query runs over its whole tables. Sums and means of floats are rounded in
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.core import REGISTRY, Value, call
 from ..operators.frame import Frame
 from ..operators.metadata import Metadata
+from ..session import shared_dir
 from ..sources import otel, udtf
 from ..sources.engine import Engine
 from ..streaming import queries as streams
@@ -566,9 +567,9 @@ def md_upid(e):
 def _streamed(frame: Frame, name: str) -> DataFrame:
     """Runs a stream over all present files and reads what it wrote."""
     spark = frame.spark().sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    path = f"{base.rstrip('/')}/stream-{name}-{id(frame)}"
-    q = streams.start(frame, f"{name}_{id(frame)}", f"{path}/out", f"{path}/log")
+    run = uuid.uuid4().hex
+    path = f"{shared_dir(spark)}/stream-{name}-{run}"
+    q = streams.start(frame, f"{name}_{run}", f"{path}/out", f"{path}/log")
     q.awaitTermination()
     return spark.read.schema(frame.spark().schema).parquet(f"{path}/out")
 

@@ -1,4 +1,4 @@
-"""Shipping this package to executors."""
+"""Shipping this package to executors, and the folder that they share."""
 
 from __future__ import annotations
 
@@ -11,6 +11,18 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; only a single-machine session may leave it unset, and gets a temporary one."""
+    if base := spark.conf.get("spark.checkpoint.dir", None):
+        return base.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    base = f"file://{tempfile.mkdtemp(prefix='quillstream-')}"
+    spark.conf.set("spark.checkpoint.dir", base)
+    return base
+
+
 def ship(spark: SparkSession) -> None:
     """Sends the package's sources to the executors' Python workers, once per application.
 
