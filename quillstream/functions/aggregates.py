@@ -9,9 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .core import BOOLEAN, FLOAT64, INT64, STRING, TIME64NS, TYPES, Value, define
-from .ml import kmeans_fit
+from .ml import kmeans_merge, kmeans_part
 from .paths import build_clusters
-from .pprof import profile
+from .pprof import count_part, merge_parts
 
 ALL = [((t,), t) for t in TYPES]
 DRAW = "__draw"
@@ -67,24 +67,40 @@ def sample(v: Value) -> Column:
     return F.max_by(v.col, F.col(DRAW))
 
 
-@define("_kmeans_fit", ((STRING, INT64), STRING), aggregate=True)
+def _merge_kmeans(parts: Column) -> Column:
+    @F.pandas_udf("string")
+    def merge(texts: pd.Series) -> str:
+        return kmeans_merge(list(texts))
+
+    return merge(parts)
+
+
+@define("_kmeans_fit", ((STRING, INT64), STRING), aggregate=True, merge=_merge_kmeans)
 def kmeans(v: Value, k: Value) -> Column:
-    """Centroids of embeddings (JSON lists of floats) as JSON."""
+    """Centroids of embeddings (JSON lists of floats) as JSON, from coresets of parts of the group."""
+
+    @F.pandas_udf("string")
+    def part(embeddings: pd.Series, ks: pd.Series) -> str:
+        return kmeans_part([json.loads(e) for e in embeddings], int(ks.iloc[0]) if len(ks) else 0)
+
+    return part(v.col, k.col)
+
 
+def _merge_profiles(parts: Column) -> Column:
     @F.pandas_udf("string")
-    def fit(embeddings: pd.Series, ks: pd.Series) -> str:
-        return kmeans_fit([json.loads(e) for e in embeddings], int(ks.iloc[0]) if len(ks) else 0)
+    def merge(texts: pd.Series) -> str:
+        return merge_parts(texts)
 
-    return fit(v.col, k.col)
+    return merge(parts)
 
 
-@define("pprof", ((STRING, INT64, INT64), STRING), aggregate=True)
+@define("pprof", ((STRING, INT64, INT64), STRING), aggregate=True, merge=_merge_profiles)
 def pprof(stack: Value, n: Value, period: Value) -> Column:
     """Stack traces with counts and sampling period in ms, as a base64 profile; an error text if periods differ."""
 
     @F.pandas_udf("string")
     def build(stacks: pd.Series, counts: pd.Series, periods: pd.Series) -> str:
-        return profile(stacks, counts, periods)
+        return count_part(stacks, counts, periods)
 
     return build(stack.col, n.col, period.col)
 

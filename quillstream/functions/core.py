@@ -129,6 +129,8 @@ class Function:
     aggregate: bool = False
     variadic: bool = False
     doc: str = ""
+    #: For aggregates in two steps: merges the texts that ``build`` gave for parts of a group.
+    merge: Callable[[Column], Column] | None = None
 
     def resolve(self, types: Sequence[str]) -> Overload:
         if self.variadic:
@@ -164,11 +166,11 @@ def call(name: str, *args: object) -> Value:
     return REGISTRY[name](*args)
 
 
-def define(name: str, *overloads: tuple[Sequence[str], str], aggregate: bool = False, variadic: bool = False):
+def define(name: str, *overloads: tuple[Sequence[str], str], aggregate: bool = False, variadic: bool = False, merge: Callable[[Column], Column] | None = None):
     """Registers a builder: it takes values and gives a column."""
 
     def add(build: Callable[..., Column]) -> Callable[..., Column]:
-        REGISTRY[name] = Function(name, tuple(Overload(tuple(a), r) for a, r in overloads), build, aggregate, variadic, (build.__doc__ or "").strip())
+        REGISTRY[name] = Function(name, tuple(Overload(tuple(a), r) for a, r in overloads), build, aggregate, variadic, (build.__doc__ or "").strip(), merge)
         return build
 
     return add

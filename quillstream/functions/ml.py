@@ -34,12 +34,8 @@ def _lloyd(points: np.ndarray, weights: np.ndarray, k: int, rounds: int = 25) ->
     return c
 
 
-def kmeans_fit(embeddings: list[list[float]], k: int) -> str:
-    """Centroids as JSON. Large groups are first reduced to a weighted coreset, chunk by chunk."""
-    if not embeddings or k < 1:
-        return json.dumps({"k": 0, "centroids": []})
-    points = np.array(embeddings, dtype=np.float64)
-    weights = np.ones(len(points))
+def coreset(points: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``CORESET`` weighted points that stand for the given ones, reduced chunk by chunk."""
     while len(points) > CORESET:
         parts, sizes = [], []
         for at in range(0, len(points), CORESET):
@@ -50,6 +46,25 @@ def kmeans_fit(embeddings: list[list[float]], k: int) -> str:
             parts.append(c[mass > 0])
             sizes.append(mass[mass > 0])
         points, weights = np.concatenate(parts), np.concatenate(sizes)
+    return points, weights
+
+
+def kmeans_part(embeddings: list[list[float]], k: int) -> str:
+    """What a part of a group contributes: its coreset as JSON."""
+    if not embeddings:
+        return json.dumps({"k": k, "points": [], "weights": []})
+    points, weights = coreset(np.array(embeddings, dtype=np.float64), np.ones(len(embeddings)))
+    return json.dumps({"k": k, "points": points.tolist(), "weights": weights.tolist()})
+
+
+def kmeans_merge(parts: list[str]) -> str:
+    """Centroids as JSON from the coresets of a group's parts."""
+    loaded = [json.loads(p) for p in parts]
+    k = max((p["k"] for p in loaded), default=0)
+    loaded = [p for p in loaded if p["points"]]
+    if not loaded or k < 1:
+        return json.dumps({"k": 0, "centroids": []})
+    points, weights = coreset(np.concatenate([np.array(p["points"]) for p in loaded]), np.concatenate([np.array(p["weights"]) for p in loaded]))
     found = _lloyd(points, weights, min(k, len(points)))
     return json.dumps({"k": len(found), "centroids": found.round(6).tolist()})
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 from collections import Counter
 from collections.abc import Iterable
 
@@ -25,6 +26,26 @@ def _block(field: int, data: bytes) -> bytes:
     return _varint(field << 3 | 2) + _varint(len(data)) + data
 
 
+def count_part(stacks: Iterable[str], counts: Iterable[int], periods: Iterable[int]) -> str:
+    """What a part of a group contributes: its counts by stack and its periods, as JSON."""
+    total: Counter = Counter()
+    for stack, n in zip(stacks, counts):
+        total[stack] += int(n)
+    return json.dumps([dict(total), sorted({int(p) for p in periods})])
+
+
+def merge_parts(parts: Iterable[str]) -> str:
+    """The profile of a group from its parts."""
+    stacks, counts, periods = [], [], []
+    for total, some in map(json.loads, parts):
+        stacks += total
+        counts += total.values()
+        periods += some
+    if len(set(periods)) > 1:
+        return profile(["a"] * len(periods), [0] * len(periods), periods)
+    return profile(stacks, counts, periods[:1] * len(stacks))
+
+
 def profile(stacks: Iterable[str], counts: Iterable[int], periods: Iterable[int]) -> str:
     """Sample types (samples, count) and (cpu, nanoseconds); frames are joined by ';', the leaf last."""
     total: Counter = Counter()

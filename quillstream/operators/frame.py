@@ -11,6 +11,9 @@ from ..functions.core import BOOLEAN, REGISTRY, TIME64NS, CompileError, Function
 from ..plans.timeparse import parse_duration
 
 
+PARTS = 32
+
+
 def _names(columns: str | Sequence[str], what: str) -> list[str]:
     if isinstance(columns, str):
         return [columns]
@@ -191,7 +194,7 @@ class Frame:
         keys = list(self._group)
         if not outputs and not keys:
             raise CompileError("agg needs outputs or a groupby")
-        aggs, types, drawn = [], {c: self._types[c] for c in keys}, False
+        aggs, types, drawn, stepped = [], {c: self._types[c] for c in keys}, False, {}
         for name, spec in outputs.items():
             if not isinstance(spec, tuple) or len(spec) < 2:
                 raise CompileError(f"{name} must be a tuple of columns and a function")
@@ -203,7 +206,10 @@ class Frame:
             if not all(isinstance(c, (str, Value)) for c in inputs):
                 raise CompileError(f"{name}: all but the last part must be columns")
             v = function(*[self._column(c) if isinstance(c, str) else c for c in inputs])
-            aggs.append(v.named(name))
+            if function.merge:
+                stepped[name] = (v.col, function.merge)
+            else:
+                aggs.append(v.named(name))
             types[name] = v.type
             drawn = drawn or function.name == "sample"
         by = [F.col(f"`{c}`") for c in keys]
@@ -212,9 +218,23 @@ class Frame:
             start = (F.col(f"`{on}`") - F.col(f"`{on}`") % size).alias(on, metadata={"type": TIME64NS})
             by, types = [start, *by], {on: TIME64NS} | types
         rows = self._df.withColumn("__draw", F.rand()) if drawn else self._df
-        df = rows.groupBy(*by).agg(*aggs) if aggs and by else rows.agg(*aggs) if aggs else rows.select(*by).distinct()
+        df = rows.groupBy(*by).agg(*aggs) if aggs and by else rows.agg(*(aggs or [F.count(F.lit(1)).alias("__n")])) if aggs or not by else rows.select(*by).distinct()
+        for name, (part, merge) in stepped.items():
+            df = self._stepped(df, rows, by, name, part, merge)
+        if stepped:
+            df = df.select(*[F.col(f"`{c}`") for c in types])
         return self._with(df, types, blocking=True)
 
+    @staticmethod
+    def _stepped(df: DataFrame, rows: DataFrame, by: list, name: str, part, merge) -> DataFrame:
+        """With an aggregate in two steps: of ``PARTS`` parts of each group, by a hash of the row, then of the parts' results."""
+        keys = [F.coalesce(F.to_json(F.struct(*by)), F.lit("")) if by else F.lit(""), F.pmod(F.xxhash64(*rows.columns), F.lit(PARTS))]
+        parts = rows.groupBy(keys[0].alias("__key"), keys[1].alias("__part")).agg(part.alias("__p"))
+        merged = parts.groupBy("__key").agg(merge(F.col("__p")).alias(name))
+        names = [c for c in df.columns if c != name]
+        keyed = df.withColumn("__key", F.coalesce(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns[: len(by)]])), F.lit("")) if by else F.lit(""))
+        return keyed.join(merged, "__key", "left").select(*[F.col(f"`{c}`") for c in names], F.col(f"`{name}`"))
+
     # --- sets -----------------------------------------------------------------------------------------------------
 
     def append(self, others: Frame | list[Frame], ordered: bool = False) -> Frame:
