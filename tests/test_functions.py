@@ -7,7 +7,7 @@ from quillstream.session import ship
 from quillstream.operators import metadata  # noqa: F401  (fills the registry)
 
 CASES = [
-    ('substring',('pixielabs',5,10),'labs'),('substring',('abc',9,20),''),('substring',('abc',-1,2),''),('substring',('abc',0,-1),''),('find',('pixie','hello'),-1),
+    ('substring',('gridtables',4,20),'tables'),('substring',('abc',9,20),''),('substring',('abc',-1,2),''),('substring',('abc',0,-1),''),('find',('engine','hello'),-1),
     ('strip_prefix',('sock-shop/carts','sock-shop/carts123'),'123'),('hex_to_ascii',('333',),''),('hex_to_ascii',('6162',),'ab'),('bytes_to_hex',('abc',),r'\x61\x62\x63'),('atoi',('+1111111',0),1111111),('atoi',('not an int',1234),1234),
     ('pluck',('{"a": {"b": 1}, "c": 1.5, "d": 3, "n": null, "s":"x"}','a'),'{"b":1}'),('pluck',('{"c": 1.5}','c'),'1.5'),('pluck',('{"d": 3}','d'),'3'),('pluck',('{"n": null}','n'),''),('pluck',('[1]','a'),''),('pluck',('{bad','a'),''),
     ('pluck_int64',('{"d": 3}','d'),3),('pluck_int64',('{"d": 3.5}','d'),0),('pluck_int64',('{"d": "3"}','d'),0),('pluck_float64',('{"d": 3}','d'),0.0),('pluck_float64',('{"d": 3.5}','d'),3.5),('pluck_float64',('{"d": 10.0}','d'),10.0),
