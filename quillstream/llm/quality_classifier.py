@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality_rules import SYMBOLS, duplicate_lines, repeat_words
-from .support import WordTable, bytes_of, crc_bucket, materialise, text_of
+from .support import WordTable, bytes_of, crc_bucket, materialise, text_of, texts_in
 
 FEATURES = 192
 RIDGE = 1e-3
@@ -89,7 +89,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Statistics()
         for batch in batches:
-            rows = [own.of(t) for t in batch.column(1).to_pylist()]
+            rows = [own.of(t) for t in texts_in(batch.column(1))]
             flat = np.concatenate(rows) if rows else np.zeros(0)
             offsets = np.arange(len(rows) + 1, dtype=np.int32) * N_STATS
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, flat)], names=["id", "stats"])
@@ -198,7 +198,7 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text", keep_at: fl
         own = Statistics()
         for batch in batches:
             if batch.num_rows:
-                stats = np.stack([own.of(t) for t in pc.cast(batch.column(at), pa.string()).to_pylist()])
+                stats = np.stack([own.of(t) for t in texts_in(pc.cast(batch.column(at), pa.string()))])
                 yield batch.filter(pa.array(_calibrated(_raw(stats, shared.value), shared.value) >= keep_at))
 
     return docs.mapInArrow(run, docs.schema)

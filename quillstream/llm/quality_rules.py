@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import WordTable, bytes_of, expected_sample, ranges_of, text_of
+from .support import WordTable, bytes_of, expected_sample, ranges_of, text_of, texts_in
 
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -229,7 +229,7 @@ def assess(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         scorer = Scorer(shared.value)
         for batch in batches:
             out: list[tuple] = []
-            for text in batch.column(1).to_pylist():
+            for text in texts_in(batch.column(1)):
                 words = bytes_of(text).split()
                 ids = scorer.words.rows(words)
                 counts = base_counts(text, words, ids)
@@ -254,7 +254,7 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text", limits: Lim
         scorer = Scorer(shared.value)
         for batch in batches:
             keep = []
-            for text in pc.cast(batch.column(at), pa.string()).to_pylist():
+            for text in texts_in(pc.cast(batch.column(at), pa.string())):
                 ids = scorer.words.rows(bytes_of(text).split())
                 keep.append(not failed(len(ids), repeat_words(ids), limits) and scorer.probability(ids) >= limits.keep_at)
             yield batch.filter(pa.array(keep, pa.bool_()))

@@ -25,7 +25,8 @@ from pyspark.sql import types as T
 from .sentencepiece_model import BYTE, CONTROL, MARK, UNKNOWN, default_model_path, load, tokenizer
 
 PROBES = ["", " ", "a", "Hello  world", "  two\n\tlines \r\n", "éè 中文 \U0001f600 ﬁ", "x" * 70 + "   7*7 = 49", "▁ mark▁ed", "a    b      c          d", "\x00\x1f\x7f"]
-WORDS_HELD = 500_000
+WORDS_HELD = 250_000
+TEXTS_AT_ONCE = 512
 
 
 class Codec:
@@ -66,11 +67,11 @@ class Codec:
             self.words.clear()
         known = self.words
         out = []
-        for at in range(0, len(texts), 512):
-            cut = [self.find(self.normalise(t)) for t in texts[at : at + 512]]
+        for at in range(0, len(texts), TEXTS_AT_ONCE):
+            cut = [self.find(self.normalise(t)) for t in texts[at : at + TEXTS_AT_ONCE]]
             if new := list({w for words in cut for w in words}.difference(known)):
-                for at_new in range(0, len(new), 20_000):
-                    some = new[at_new : at_new + 20_000]
+                for at_new in range(0, len(new), 5_000):
+                    some = new[at_new : at_new + 5_000]
                     for word, found in zip(some, self._encode_words(some)):
                         known[word] = np.array(found.ids, dtype=np.int32).tobytes()
             out.extend(np.frombuffer(b"".join(map(known.__getitem__, words)), dtype=np.int32) for words in cut)
@@ -120,17 +121,23 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, ids
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            none = np.array([t is None for t in texts], dtype=bool)
-            ids = own.encode([t or "" for t in texts])
+            column = batch.column(batch.num_columns - 1)
+            none = column.is_null()
+            ids, same = [], []
+            for at in range(0, len(column), TEXTS_AT_ONCE):
+                texts = column.slice(at, TEXTS_AT_ONCE).to_pylist()
+                made = own.encode([t or "" for t in texts])
+                ids.extend(made)
+                if round_trip_col:
+                    same.extend(None if t is None else own.decode(i.tolist()) == t for t, i in zip(texts, made))
             sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
             offsets = np.zeros(len(ids) + 1, dtype=np.int32)
             np.cumsum(sizes, out=offsets[1:])
             flat = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)
-            lists = pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()), mask=pa.array(none))
+            lists = pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()), mask=none)
             columns = [*batch.columns[:-1], lists, pa.array(sizes)]
             if round_trip_col:
-                columns.append(pa.array([None if t is None else own.decode(i.tolist()) == t for t, i in zip(texts, ids)], pa.bool_()))
+                columns.append(pa.array(same, pa.bool_()))
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, *new])
 
     return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").cast("string").alias("__text")).mapInArrow(run, schema)

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import materialise, text_of
+from .support import materialise, text_of, texts_in
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -122,7 +122,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t, shingle_words) for t in batch.column(2).to_pylist()], dtype=np.uint64).view(np.int64)
+            fps = np.array([fingerprint(t, shingle_words) for t in texts_in(batch.column(2))], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], names=["id", "text_hash", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -289,7 +289,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [sketch(t, shingle_words) for t in batch.column(2).to_pylist()]
+            made = [sketch(t, shingle_words) for t in texts_in(batch.column(2))]
             fps = np.array([f for f, _ in made], dtype=np.uint64).view(np.int64)
             keys = np.array([xxhash.xxh64_intdigest(m[i * ROWS : (i + 1) * ROWS].tobytes(), i) for _, m in made for i in range(BANDS)], dtype=np.uint64).view(np.int64)
             bands = pa.ListArray.from_arrays(np.arange(len(made) + 1, dtype=np.int32) * BANDS, pa.array(keys, pa.int64()))
@@ -330,7 +330,7 @@ def _shingle_sets(shingle_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = []
-            for text in batch.column(1).to_pylist():
+            for text in texts_in(batch.column(1)):
                 parts = [d.view(">u8")[:, 0].astype(np.uint64) for d in shingle_hashes(text, shingle_words)]
                 sets.append(np.unique(np.concatenate(parts)).view(np.int64) if parts else np.zeros(0, dtype=np.int64))
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)

@@ -6,9 +6,10 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +67,12 @@ def expected_sample(df: DataFrame, id_col: str, group_col: str | None, per_group
     return df.where(draw < limit)
 
 
+def texts_in(column: pa.Array, rows: int = 256) -> Iterator[str | None]:
+    """The texts of an Arrow column, a few at a time: a batch's texts are never all Python strings at once."""
+    for at in range(0, len(column), rows):
+        yield from column.slice(at, rows).to_pylist()
+
+
 def text_of(value: str | None) -> str:
     return "" if value is None else value
 
@@ -80,7 +87,7 @@ class WordTable(dict):
     It empties itself between documents once it holds ``limit`` words: memory stays bounded and results don't depend on it.
     """
 
-    def __init__(self, describe: Callable[[list[bytes]], np.ndarray], limit: int = 500_000):
+    def __init__(self, describe: Callable[[list[bytes]], np.ndarray], limit: int = 200_000):
         super().__init__()
         self.describe, self.limit, self.new = describe, limit, []
         self.table = self.empty = describe([])

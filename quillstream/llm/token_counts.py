@@ -33,6 +33,7 @@ from .support import text_of
 
 UNKNOWN_PENALTY = 10.0
 SPAN = 1 << 32
+TEXTS_AT_ONCE = 4096
 
 
 def _shared(a: str, b: str) -> int:
@@ -64,7 +65,7 @@ class Fits(dict):
 class CountingTrie:
     """Counts the tokens of pre-tokens, sharing the work of common prefixes."""
 
-    def __init__(self, model: Model, words_held: int = 600_000):
+    def __init__(self, model: Model, words_held: int = 250_000):
         if not model.splits_at_marks():
             raise ValueError("a piece of this model runs over a word start; its words can't be counted one by one")
         self.model, self.words_held = model, words_held
@@ -88,8 +89,8 @@ class CountingTrie:
         if len(self.terminals) >= self.words_held:
             self.terminals.clear()
         out = []
-        for at in range(0, len(texts), 4096):
-            cut = [self.find(self.normalise(text_of(t))) for t in texts[at : at + 4096]]
+        for at in range(0, len(texts), TEXTS_AT_ONCE):
+            cut = [self.find(self.normalise(text_of(t))) for t in texts[at : at + TEXTS_AT_ONCE]]
             self._insert(sorted({w for words in cut for w in words}.difference(self.terminals)))
             out.extend(sum(map(self.terminals.__getitem__, words)) for words in cut)
         return out
@@ -170,9 +171,12 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = trie(path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            chars = pa.array([len(text_of(t)) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), chars, pa.array(own.count(texts), pa.int64())], names=["id", "n_chars", "n_tokens"])
+            chars, counts = [], []
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                texts = batch.column(1).slice(at, TEXTS_AT_ONCE).to_pylist()
+                chars.extend(len(text_of(t)) for t in texts)
+                counts.extend(own.count(texts))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chars, pa.int64()), pa.array(counts, pa.int64())], names=["id", "n_chars", "n_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, n_chars bigint, n_tokens bigint")
