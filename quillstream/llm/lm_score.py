@@ -142,12 +142,15 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), *done], names=names)
 
 
-def score(docs: DataFrame, reference: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_chars: int = 1_000_000, task_chars: int = 64_000_000) -> DataFrame:
-    """(id, n_words, phrases, own_phrases, reference_words, cross_entropy, own_entropy, score) of every document."""
+def score(docs: DataFrame, reference: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_chars: int = 1_000_000, task_chars: int = 64_000_000, reference_chars: int | None = None) -> DataFrame:
+    """(id, n_words, phrases, own_phrases, reference_words, cross_entropy, own_entropy, score) of every document.
+
+    ``reference_chars`` may give the reference's size in code points, where that is cheaper to find than from its texts.
+    """
     shape = lambda df: df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     chars = lambda df: df.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0))).first()[0]
     docs, reference = shape(docs), shape(reference)
-    shards = max(2, -(-chars(reference) // shard_chars))
+    shards = max(2, -(-(chars(reference) if reference_chars is None else reference_chars) // shard_chars))
     parts = max(1, -(-chars(docs) // (shards * task_chars)))
     own = F.pmod(F.xxhash64(F.lit(7), F.col("id")), F.lit(shards))
     part = F.pmod(F.xxhash64(F.lit(8), F.col("id")), F.lit(parts))
