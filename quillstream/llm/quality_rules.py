@@ -8,7 +8,8 @@ rows (``sample_rows``, only texts up to ``max_chars``, whole); a third of the sa
 probabilities (Platt). It is then applied in Arrow batches against the fixed threshold.
 
 Defined cases: a null text has no words; texts below 50 words or with more than half of their words in repeated three-word
-windows fail the base rules; without labelled rows of both classes the verdict keeps what passes the base rules; repeated
+windows fail the base rules; several labels of one id count as the larger;
+without labelled rows of both classes the verdict keeps what passes the base rules; repeated
 rows each get their row; extra columns are ignored by ``assess`` and kept as they are by ``keep_good``.
 """
 
@@ -211,7 +212,7 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 1500, max_chars: int = 20_000) -> Model:
     """Fits on about ``sample_rows`` labelled rows of each class with texts of up to ``max_chars``, chosen by a hash of the id."""
-    chosen = expected_sample(labels.where(F.col(label_col).isin(0, 1)).select(id_col, label_col).dropDuplicates([id_col]), id_col, label_col, sample_rows, 9)
+    chosen = expected_sample(labels.where(F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias(label_col)), id_col, label_col, sample_rows, 9)
     wanted = docs.select(id_col, F.col(text_col).cast("string").alias("__text")).where(F.char_length("__text") <= max_chars)
     rows = wanted.join(F.broadcast(chosen), id_col).select(F.col(id_col).alias("id"), "__text", F.col(label_col).alias("label")).collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"], r["__text"]))
