@@ -16,10 +16,13 @@ linked fingerprints, and its members go into the narrower buckets of the next ro
 more than 2048 fingerprints, so this ends. Components come from large-star/small-star rounds over tables in the shared
 folder; links and labels never reach the driver.
 
-``keep_one`` works at a Jaccard similarity of 0.8 on five-word shingles. Such pairs differ in four to fifteen bits, far beyond
-what covering tables can reach (2^(radius+1) - 1 of them), so there the fingerprint links are candidates beside those of
-min-wise hashing: ``BANDS`` bands of ``ROWS`` minima give, of each bucket, the first member and the one before, as a
-stream and never all pairs. The exact similarity of the shingle sets decides on all candidates.
+``keep_one`` links texts at a Jaccard similarity of 0.8 on five-word shingles. Such pairs differ in four to fifteen bits, far
+beyond what covering tables can reach (2^(radius+1) - 1 of them), so there an exact set join takes their place: shingles have
+one order, rare ones first, and two texts of n shingles each at similarity s share one of the first n - ceil(s n) + 1 of each.
+Texts meet in a bucket for every such shingle. Of larger buckets each member is first compared with the head and the one
+before; what that links is one component already, and then every pair that is still apart is compared. The exact
+similarity of the shingle sets decides on all of them, so no pair is lost. The order rests on a sample of texts: it sets how
+many pairs are compared, never which are found.
 
 Defined cases: null texts count as empty; texts without words have fingerprint zero and are linked like any other; rows
 with a null id take part, and a component's id is its smallest non-null id (null if it has none); repeated rows each
@@ -28,7 +31,7 @@ get their row; extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +44,7 @@ from .support import materialise, text_of, texts_in
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 CHUNK = 1 << 17
-BANDS, ROWS = 16, 5
-MINIMA = BANDS * ROWS
-MIX = np.random.default_rng(2).integers(1, 1 << 63, size=MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+ORDER_TEXTS, ORDER_SHINGLES = 20_000, 200_000
 
 
 def shingle_hashes(text: str | None, shingle_words: int) -> Iterator[np.ndarray]:
@@ -87,17 +88,10 @@ def fingerprint(text: str | None, shingle_words: int = 3) -> int:
     return bits.value()
 
 
-def sketch(text: str | None, shingle_words: int = 5) -> tuple[int, np.ndarray]:
-    """The SimHash of a text and the minima of its shingles' hashes under ``MINIMA`` mixings."""
-    bits, least = Majority(), np.full(MINIMA, (1 << 64) - 1, dtype=np.uint64)
-    for digests in shingle_hashes(text, shingle_words):
-        bits.add(digests)
-        hashes = np.unique(digests.view(">u8")[:, 0].astype(np.uint64))
-        for at in range(0, len(hashes), 4096):
-            part = hashes[at : at + 4096]
-            mixed = (part ^ (part >> np.uint64(29)))[None, :] * MIX[:, None]
-            np.minimum(least, mixed.min(axis=1), out=least)
-    return bits.value(), least
+def shingle_set(text: str | None, shingle_words: int = 5) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted; texts without words all have the one hash 0."""
+    parts = [d.view(">u8")[:, 0].astype(np.uint64) for d in shingle_hashes(text, shingle_words)]
+    return np.unique(np.concatenate(parts)).view(np.int64) if parts else np.zeros(1, dtype=np.int64)
 
 
 def masks(radius: int) -> list[int]:
@@ -284,95 +278,196 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(classes(marked, radius, bucket_rows), "fp").select("id", "fp", F.col("first.id").alias("component"))
 
 
-def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5) -> DataFrame:
-    """(id, text_hash, fp, bands): as ``fingerprints``, with the keys of the bands."""
+def _all_shingles(shingle_words: int):
+    """Over rows (text_hash, text): the shingles of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [sketch(t, shingle_words) for t in texts_in(batch.column(2))]
-            fps = np.array([f for f, _ in made], dtype=np.uint64).view(np.int64)
-            keys = np.array([xxhash.xxh64_intdigest(m[i * ROWS : (i + 1) * ROWS].tobytes(), i) for _, m in made for i in range(BANDS)], dtype=np.uint64).view(np.int64)
-            bands = pa.ListArray.from_arrays(np.arange(len(made) + 1, dtype=np.int32) * BANDS, pa.array(keys, pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64()), bands], names=["id", "text_hash", "fp", "bands"])
+            for text in texts_in(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, shingle_words))], names=["shingle"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    text = F.col(text_col).cast("string")
-    narrow = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text"))
-    return narrow.mapInArrow(run, f"id {kind}, text_hash bigint, fp bigint, bands array<bigint>")
+    return run
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows (band, key, turn, fp) sorted by the first three: each member of a bucket with its first and its previous one."""
-    names = ["a", "b"]
-    first = last = None  # (band, key, fp) of the open bucket's first member and of the row before
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        band, key, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
-        new = np.ones(len(fp), dtype=bool)
-        new[1:] = (band[1:] != band[:-1]) | (key[1:] != key[:-1])
-        new[0] = last is None or (last[0], last[1]) != (band[0], key[0])
-        owner = np.maximum.accumulate(np.where(new, np.arange(len(fp)), -1))
-        heads = np.where(owner >= 0, fp[owner], first[2] if first else 0)
-        before = np.concatenate(([last[2] if last else 0], fp[:-1]))
-        inner = ~new
-        a, b = np.concatenate((heads[inner], before[inner])), np.concatenate((fp[inner], fp[inner]))
-        apart = a != b
-        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)[apart]), pa.array(np.minimum(a, b)[apart])], names=names)
-        if owner[-1] >= 0:
-            first = (band[owner[-1]], key[owner[-1]], fp[owner[-1]])
-        last = (band[-1], key[-1], fp[-1])
+def _prefixes(shingle_words: int, similarity: float, common: np.ndarray, counts: np.ndarray):
+    """Over rows (text_hash, text): (shingle, text_hash, n) for the first shingles of each text's n, in order of count and hash."""
+
+    def first(shingles: np.ndarray) -> np.ndarray:
+        want = len(shingles) - int(np.ceil(similarity * len(shingles) - 1e-9)) + 1
+        if not len(common):
+            return shingles[:want]
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        often = common[at] == shingles
+        rare = shingles[~often]
+        if len(rare) >= want:
+            return rare[:want]
+        rest = shingles[often]
+        return np.concatenate((rare, rest[np.argsort(counts[at[often]], kind="stable")][: want - len(rare)]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                sets = [shingle_set(t, shingle_words) for t in texts_in(part.column(1))]
+                firsts = [first(x) for x in sets]
+                sizes = [len(x) for x in firsts]
+                hashes = np.repeat(part.column(0).to_numpy(), sizes)
+                n = np.repeat(np.array([len(x) for x in sets], dtype=np.int32), sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts)), pa.array(hashes), pa.array(n)], names=["shingle", "text_hash", "n"])
+
+    return run
+
+
+def _buckets(columns: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[list[np.ndarray]]]:
+    """Turns batches sorted by their first column into the arrays of one bucket after another, a batch's whole buckets at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [batch.column(i).to_numpy() for i in range(columns)]
+            cuts = np.flatnonzero(now[0][1:] != now[0][:-1]) + 1
+            if held and held[-1][0][-1] != now[0][0]:
+                yield [np.concatenate(x) for x in zip(*held)]
+                held = []
+            if len(cuts):
+                held.append([x[: cuts[-1]] for x in now])
+                yield [np.concatenate(x) for x in zip(*held)]
+                held = []
+                now = [x[cuts[-1] :].copy() for x in now]
+            held.append(now)
+        if held:
+            yield [np.concatenate(x) for x in zip(*held)]
+
+    return run
+
+
+def _neighbours(similarity: float):
+    """Over rows (shingle, text_hash, n) sorted by the first two: of each bucket each member with its head and the one before
+    (kind 0: a, b), and the members of buckets of three or more (kind 1: shingle, text_hash, n)."""
+
+    def pack(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, dtype=np.int32)), pa.array(a), pa.array(b), pa.array(n)], names=["kind", "a", "b", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shingle, text, n in _buckets(3)(batches):
+            once = np.ones(len(text), dtype=bool)
+            once[1:] = (shingle[1:] != shingle[:-1]) | (text[1:] != text[:-1])  # copies
+            shingle, text, n = shingle[once], text[once], n[once]
+            new = np.ones(len(text), dtype=bool)
+            new[1:] = shingle[1:] != shingle[:-1]
+            starts = np.flatnonzero(new)
+            sizes = np.diff(np.append(starts, len(text)))
+            head = np.repeat(starts, sizes)
+            at = np.flatnonzero(~new)
+            other = np.concatenate((head[at], at - 1))
+            at = np.concatenate((at, at))
+            fits = np.minimum(n[at], n[other]) >= similarity * np.maximum(n[at], n[other]) - 1e-6
+            pairs = np.unique(np.stack((np.maximum(text[at], text[other])[fits], np.minimum(text[at], text[other])[fits])), axis=1)
+            yield pack(0, pairs[0], pairs[1], np.zeros(pairs.shape[1], dtype=np.int32))
+            large = np.repeat(sizes > 2, sizes)
+            yield pack(1, shingle[large], text[large], n[large])
+
+    return run
+
+
+def _apart(similarity: float):
+    """Over rows (shingle, root, text_hash, n) sorted by the first two: the pairs (a, b) of each bucket that no component holds yet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shingle, root, text, n in _buckets(4)(batches):
+            starts = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1]))
+            ends = np.append(starts[1:], len(shingle))
+            mixed = root[starts] != root[ends - 1]
+            found: list[np.ndarray] = []
+            held = 0
+            for start, end in zip(starts[mixed].tolist(), ends[mixed].tolist()):
+                # Roots are sorted: of each run of a root, every member goes with all that come after the run.
+                after = np.searchsorted(root[start:end], root[start:end], side="right") + start
+                for i in range(start, end):
+                    to = slice(int(after[i - start]), end)
+                    if to.start == end:
+                        break
+                    fits = np.minimum(n[to], n[i]) >= similarity * np.maximum(n[to], n[i]) - 1e-6
+                    others = text[to][fits]
+                    if len(others):
+                        found.append(np.stack((np.maximum(others, text[i]), np.minimum(others, text[i]))))
+                        held += len(others)
+                    if held > CHUNK * 4:
+                        a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                        found, held = [], 0
+            if found:
+                a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return run
 
 
 def _shingle_sets(shingle_words: int):
-    """Over rows (fp, text): the fingerprint and the distinct hashes of its text's shingles."""
+    """Over rows (text_hash, text): the text's hash and its shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = []
-            for text in texts_in(batch.column(1)):
-                parts = [d.view(">u8")[:, 0].astype(np.uint64) for d in shingle_hashes(text, shingle_words)]
-                sets.append(np.unique(np.concatenate(parts)).view(np.int64) if parts else np.zeros(0, dtype=np.int64))
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
-            flat = np.concatenate(sets) if sets else np.zeros(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int64()))], names=["fp", "shingles"])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                sets = [shingle_set(t, shingle_words) for t in texts_in(part.column(1))]
+                offsets = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets), pa.int64()))], names=["text_hash", "shingles"])
 
     return run
 
 
-def similar(marked: DataFrame, keyed: DataFrame, similarity: float, shingle_words: int, radius: int, bucket_rows: int) -> DataFrame:
-    """Links (a > b) between fingerprints whose texts share at least so much of their shingles, among near fingerprints and bands.
-
-    ``keyed`` has the texts with their keys (__text, __row, text); of a fingerprint's texts one stands for all, as they are
-    linked anyway. Only the texts of candidates are joined.
-    """
-    stands = F.min(F.struct("text_hash", F.xxhash64("id").alias("row"), "bands"))
-    one = materialise(marked.groupBy("fp").agg(stands.alias("s")).select("fp", "s.*"), "bands")
-    rows = one.select("fp", F.posexplode("bands").alias("band", "key")).select("band", "key", F.xxhash64("band", "fp").alias("turn"), "fp")
-    banded = rows.repartition("band", "key").sortWithinPartitions("band", "key", "turn").mapInArrow(_neighbours, "a bigint, b bigint")
-    pairs = materialise(banded.unionByName(links(one.select("fp"), radius, bucket_rows)).distinct(), "pairs")
-    asked = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    wanted = one.join(asked, "fp").select("fp", F.col("text_hash").alias("__text"), F.col("row").alias("__row"))
-    texts = keyed.join(wanted.hint("shuffle_hash"), ["__text", "__row"]).select("fp", "text").mapInArrow(_shingle_sets(shingle_words), "fp bigint, shingles array<bigint>")
-    sets = materialise(texts.dropDuplicates(["fp"]), "shingles")
-    left, right = (sets.select(F.col("fp").alias(p), F.col("shingles").alias(x)) for p, x in (("a", "x"), ("b", "y")))
+def _verified(pairs: DataFrame, keyed: DataFrame, rows: DataFrame, similarity: float, shingle_words: int) -> DataFrame:
+    """The pairs (a, b) of text hashes whose texts share at least so much of their shingles. Only the texts of pairs are joined."""
+    asked = pairs.select(F.col("a").alias("__text")).unionByName(pairs.select(F.col("b").alias("__text"))).distinct()
+    wanted = rows.join(asked, "__text")
+    texts = keyed.join(wanted.hint("shuffle_hash"), ["__text", "__row"]).select("__text", "text").mapInArrow(_shingle_sets(shingle_words), "text_hash bigint, shingles array<bigint>")
+    sets = materialise(texts.dropDuplicates(["text_hash"]), "shingles")
+    left, right = (sets.select(F.col("text_hash").alias(p), F.col("shingles").alias(x)) for p, x in (("a", "x"), ("b", "y")))
     both = F.size(F.array_intersect("x", "y"))
     all_of = F.size("x") + F.size("y") - both
-    return pairs.join(left, "a").join(right, "b").where(both >= F.lit(similarity) * all_of).select("a", "b")
+    return materialise(pairs.join(left, "a").join(right, "b").where(both >= F.lit(similarity) * all_of).select("a", "b"), "verified")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, radius: int = 3, similarity: float = 0.8, bucket_rows: int = 2048) -> DataFrame:
+def similar(marked: DataFrame, keyed: DataFrame, similarity: float, shingle_words: int) -> DataFrame:
+    """Links (a > b) between text hashes that connect what all pairs of at least this similarity connect.
+
+    ``marked`` has (id, text_hash), ``keyed`` the texts with their keys (__text, __row, text); rows of one text hash are one text.
+    """
+    rows = materialise(marked.groupBy("text_hash").agg(F.min(F.xxhash64("id")).alias("__row")).withColumnRenamed("text_hash", "__text"), "texts")
+    texts = keyed.select(F.col("__text").alias("text_hash"), "text")
+    top = 1 << 30
+    share = int(min(1.0, ORDER_TEXTS / max(rows.count(), 1)) * top)
+    sample = texts.where(F.pmod(F.xxhash64(F.lit(3), "text_hash"), F.lit(top)) < share).mapInArrow(_all_shingles(shingle_words), "shingle bigint")
+    often = sample.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "shingle").limit(ORDER_SHINGLES).toArrow()
+    common, counts = (often.column(i).to_numpy() for i in range(2))
+    by_hash = np.argsort(common)
+    prefixes = texts.mapInArrow(_prefixes(shingle_words, similarity, common[by_hash], counts[by_hash]), "shingle bigint, text_hash bigint, n int")
+    met = materialise(prefixes.repartition("shingle").sortWithinPartitions("shingle", "text_hash").mapInArrow(_neighbours(similarity), "kind int, a bigint, b bigint, n int"), "met")
+    near = materialise(met.where("kind = 0").select("a", "b").distinct(), "pairs")
+    linked = _verified(near, keyed, rows, similarity, shingle_words)
+    roots = components(linked)
+    members = met.where("kind = 1").select(F.col("a").alias("shingle"), F.col("b").alias("node"), "n").join(roots, "node", "left")
+    members = members.select("shingle", F.coalesce("root", "node").alias("root"), F.col("node").alias("text_hash"), "n")
+    apart = members.repartition("shingle").sortWithinPartitions("shingle", "root").mapInArrow(_apart(similarity), "a bigint, b bigint")
+    rest = materialise(apart.distinct().join(near, ["a", "b"], "left_anti"), "apart")
+    return linked.unionByName(_verified(rest, keyed, rows, similarity, shingle_words))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents without near-duplicates: of each component the row with the smallest id stays, once.
 
-    Links are pairs of at least ``similarity``, and equal fingerprints. Rows of the same id and text are one document.
-    All columns are kept as they are. Texts are shuffled twice: to verify candidates, and to keep the survivors.
+    Links are pairs of at least ``similarity``, and equal texts. Rows of the same id and text are one document.
+    All columns are kept as they are. Texts are shuffled to verify pairs, and to keep the survivors.
     """
-    marked = materialise(sketches(docs, id_col, text_col, shingle_words), "sketches")
     keys = ["__text", "__row"]
     names = [F.col(f"`{c}`") for c in docs.columns]
     text = F.col(text_col).cast("string")
     row = [F.xxhash64(F.coalesce(text, F.lit(""))).alias("__text"), F.xxhash64(id_col).alias("__row")]
-    links_too = similar(marked, docs.select(*row, text.alias("text")), similarity, shingle_words, radius, bucket_rows)
-    firsts = classes(marked, radius, bucket_rows, links_too).select(F.col("first.text_hash").alias("__text"), F.xxhash64("first.id").alias("__row")).distinct()
+    marked = materialise(docs.select(F.col(id_col).alias("id"), row[0].alias("text_hash")), "marked")
+    links_too = similar(marked, docs.select(*row, text.alias("text")), similarity, shingle_words)
+    firsts = classes(marked.withColumn("fp", F.col("text_hash")), edges=links_too).select(F.col("first.text_hash").alias("__text"), F.xxhash64("first.id").alias("__row")).distinct()
     stay = docs.select(*names, *row).join(firsts.hint("shuffle_hash"), keys, "left_semi")
     return stay.dropDuplicates(keys).select(*names)

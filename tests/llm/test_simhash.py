@@ -133,3 +133,18 @@ def test_keep_one_like_exact_similarity(spark):
     for i in rows:
         groups.setdefault(find(i), set()).add(i)
     assert all(len(g & kept) == 1 for g in groups.values())
+
+
+def test_keep_one_in_a_family_of_a_shared_passage(spark):
+    """2000 texts share about 72 % of their shingles; among them are pairs of over 0.8."""
+    passage = prose(50, 300, 10**6).split()
+    texts = {i: passage + prose(1000 + i, 55, 10**6).split() for i in range(2000)}
+    for i in range(60):
+        near = texts[i].copy()
+        near[310 + i % 10] = near[330] = near[340] = "changed"
+        texts[10_000 + i] = near
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in texts.items()}
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert all(alike(i, 10_000 + i) >= 0.8 for i in range(60)) and all(0.7 < alike(i, i + 1) < 0.8 for i in range(1999))
+    kept = {r["doc_id"] for r in simhash.keep_one(frame(spark, [(i, " ".join(w)) for i, w in texts.items()])).collect()}
+    assert kept == set(range(2000))
