@@ -5,14 +5,15 @@ every W slots may be released at slot floor(j W / a) and is due by slot ceil((j
 block with the earliest deadline goes next. With weights that add up to one this meets all deadlines, so after any number
 of slots each source has had its share to within less than one block.
 
-Weights are whole numbers of slots of a period, so the schedule repeats: the driver schedules one period (``period`` slots,
-whatever the input), and a block's slot follows by arithmetic from its number. A phase of whole periods lasts until some
-source has less than a period's blocks left; a closing period then takes what is left of the short sources, and the next phase
-goes on with the others at the same relative weights. Every document gets exactly one position, all deviations are zero
-between phases, and within a phase below one block of that phase's weights.
+Windows follow from the target weights themselves, in whole numbers of any size, and nothing is rounded: W and a are the
+weights times a common factor. A phase lasts until some source has no block left; the next phase goes on with the others at
+the same relative weights. Every document gets exactly one position; within a phase all deviations are below one block.
+
+The driver schedules the blocks one by one and holds three numbers for each (24 bytes for ``block_docs`` documents); each
+hash range gets those of its own blocks.
 
 The numbering of documents within a source never gathers a source in one task: a source is cut into hash ranges of about
-``range_rows`` documents, whose counts are aggregated first. The driver sees one row a source: the list of sources is part of the
+``range_rows`` documents, whose counts are aggregated first. The driver sees one row a range: the list of sources is part of the
 weights, which are a parameter, and is taken to be of that size. Without weights a source gets a share in proportion to
 its documents to the power ``alpha``.
 
@@ -24,76 +25,91 @@ their ids are equal); an empty table gives an empty result. ``positions`` ignore
 from __future__ import annotations
 
 import heapq
+import math
+from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
+from itertools import accumulate, count, islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SEED = 1
 HASH_BITS = 40
+LAST = (1 << 63) - 1
 
 
-@dataclass(frozen=True)
-class Phase:
-    """A run of slots with fixed weights: per source its first block, its slots of each period and when they are."""
-
-    first_slot: int
-    period: int
-    periods: int
-    first_block: dict
-    slots: dict
-
-
-def whole_weights(weights: dict, period: int) -> dict:
-    """Whole slots of each source in a period of about ``period`` slots, at least one each, by largest remainders."""
-    total = sum(weights.values())
-    if not total or min(weights.values()) <= 0:
+def whole_weights(weights: dict) -> dict:
+    """Whole numbers in exactly the proportions of the weights."""
+    if not weights or min(weights.values()) <= 0:
         raise ValueError("weights must be positive")
-    exact = {s: w / total * max(period, len(weights)) for s, w in weights.items()}
-    whole = {s: max(1, int(x)) for s, x in exact.items()}
-    spare = max(period, len(weights)) - sum(whole.values())
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], str(s)))[: max(0, spare)]:
-        whole[s] += 1
-    return whole
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    factor = math.lcm(*[x.denominator for x in exact.values()])
+    whole = {s: int(x * factor) for s, x in exact.items()}
+    common = math.gcd(*whole.values())
+    return {s: w // common for s, w in whole.items()}
+
+
+def earliest(shares: list[int]) -> Iterator[tuple[int, int, int]]:
+    """(source, release, deadline) of the block that each slot gets, without end: the earliest deadline among released blocks."""
+    period = sum(shares)
+    waiting = [(0, i, 0) for i in range(len(shares))]  # (release, source, block)
+    ready: list[tuple[int, int, int, int]] = []  # (deadline, source, block, release)
+    for slot in count():
+        while waiting and waiting[0][0] <= slot:
+            release, i, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(j + 1) * period // shares[i]), i, j, release))
+        due, i, j, release = heapq.heappop(ready)
+        if due <= slot:
+            raise AssertionError("a deadline was missed")
+        yield i, release, due
+        heapq.heappush(waiting, ((j + 1) * period // shares[i], i, j + 1))
 
 
 def schedule(shares: dict) -> dict:
-    """The slots of each source in one period of sum(shares) slots, by earliest deadline among released blocks."""
-    period = sum(shares.values())
+    """The slots of each source in one period of sum(shares) slots."""
     names = sorted(shares, key=str)
-    waiting = [(0, i, 0) for i in range(len(names))]  # (release, source, block)
-    ready: list[tuple[int, int, int]] = []  # (deadline, source, block)
     slots: dict = {s: [] for s in names}
-    for slot in range(period):
-        while waiting and waiting[0][0] <= slot:
-            _, i, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(j + 1) * period // shares[names[i]]), i, j))
-        due, i, j = heapq.heappop(ready)
-        if due <= slot:
-            raise AssertionError("a deadline was missed")
+    for slot, (i, _, _) in enumerate(islice(earliest([shares[s] for s in names]), sum(shares.values()))):
         slots[names[i]].append(slot)
-        if j + 1 < shares[names[i]]:
-            heapq.heappush(waiting, ((j + 1) * period // shares[names[i]], i, j + 1))
     return slots
 
 
-def phases(blocks: dict, shares: dict) -> list[Phase]:
-    """The phases that schedule every block of every source."""
+@dataclass
+class Timetable:
+    """Of a source, by block: slot, release and deadline; and of each of its phases the first block and the weight."""
+
+    slot: array
+    release: array
+    deadline: array
+    first_block: list
+    weight: list
+
+
+def timetables(blocks: dict, shares: dict) -> dict:
+    """The timetable of every source that has blocks."""
     left = {s: n for s, n in blocks.items() if n}
-    done = dict.fromkeys(left, 0)
-    out, slot = [], 0
+    out = {s: Timetable(array("q"), array("q"), array("q"), [], []) for s in left}
+    slot = 0
     while left:
-        now = {s: shares[s] for s in left}
-        count = min(left[s] // now[s] for s in left)
-        if not count:
-            now, count = {s: min(now[s], left[s]) for s in left}, 1
-        period = sum(now.values())
-        out.append(Phase(slot, period, count, dict(done), schedule(now)))
-        slot += period * count
-        for s in now:
-            done[s] += now[s] * count
-            left[s] -= now[s] * count
-        left = {s: n for s, n in left.items() if n}
+        names = sorted(left, key=str)
+        total = sum(shares[s] for s in names)
+        for s in names:
+            out[s].first_block.append(len(out[s].slot))
+            out[s].weight.append(shares[s] / total)
+        first = slot
+        for i, release, due in earliest([shares[s] for s in names]):
+            own = out[names[i]]
+            own.slot.append(slot)
+            own.release.append(first + release)
+            own.deadline.append(min(first + due, LAST))
+            slot += 1
+            left[names[i]] -= 1
+            if not left[names[i]]:
+                del left[names[i]]
+                break
     return out
 
 
@@ -103,7 +119,7 @@ def source_key(source_col: str):
 
 
 def _numbered(docs: DataFrame, id_col: str, source_col: str, range_rows: int) -> tuple[DataFrame, dict]:
-    """The documents with __source and __rank (from 0 within the source), and the number of documents of each source."""
+    """The documents with __source, __range and __row (from 1 within both), and by source the number of documents of each range."""
     hashed = docs.withColumns({"__source": source_key(source_col), "__hash": F.shiftrightunsigned(F.xxhash64(F.lit(SEED), F.col(id_col)), 64 - HASH_BITS)})
     counts = {r["__source"]: r["n"] for r in hashed.groupBy("__source").agg(F.count(F.lit(1)).alias("n")).collect()}
     ranges = F.lit(1)
@@ -112,19 +128,18 @@ def _numbered(docs: DataFrame, id_col: str, source_col: str, range_rows: int) ->
             ranges = F.when(F.col("__source") == F.lit(s), F.lit(-(-n // range_rows))).otherwise(ranges)
     # Hashes are uniform, so equal ranges of them hold about equally many documents.
     placed = hashed.withColumn("__range", F.shiftright(F.col("__hash") * ranges.cast("long"), HASH_BITS))
-    sizes = placed.groupBy("__source", "__range").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("__source").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("__source", "__range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
+    sizes: dict = {s: {} for s in counts}
+    for r in placed.groupBy("__source", "__range").agg(F.count(F.lit(1)).alias("n")).orderBy("__source", "__range").collect():
+        sizes[r["__source"]][r["__range"]] = r["n"]
     within = Window.partitionBy("__source", "__range").orderBy("__hash", id_col)
-    ranked = placed.withColumn("__row", F.row_number().over(within))
-    joined = ranked.join(starts, ["__source", "__range"])  # both sides are partitioned by the keys already
-    return joined.withColumn("__rank", F.col("__start") + F.col("__row") - 1).drop("__start", "__row", "__hash", "__range"), counts
+    return placed.withColumn("__row", F.row_number().over(within)).drop("__hash"), sizes
 
 
-def _placed(docs: DataFrame, id_col: str, source_col: str, weights: dict | None, block_docs: int, period: int, alpha: float, range_rows: int) -> DataFrame:
-    """The documents with a struct __at: block, phase, release, deadline, slot, position."""
+def _placed(docs: DataFrame, id_col: str, source_col: str, weights: dict | None, block_docs: int, alpha: float, range_rows: int) -> DataFrame:
+    """The documents with a struct __at: block, phase, release, deadline, slot, position, weight."""
     spark = docs.sparkSession
-    ranked, counts = _numbered(docs, id_col, source_col, range_rows)
+    ranked, sizes = _numbered(docs, id_col, source_col, range_rows)
+    counts = {s: sum(x.values()) for s, x in sizes.items()}
     if weights is None:
         weights = {s: n**alpha for s, n in counts.items()}
     else:
@@ -132,43 +147,43 @@ def _placed(docs: DataFrame, id_col: str, source_col: str, weights: dict | None,
     if missing := [s for s in counts if s not in weights]:
         raise ValueError(f"sources without a weight: {sorted(map(str, missing))[:5]}")
     blocks = {s: -(-n // block_docs) for s, n in counts.items()}
-    plan = phases(blocks, whole_weights({s: weights[s] for s in counts}, period)) if counts else []
-    last_slot = {}
-    for p in plan:
-        for s, slots in p.slots.items():
-            last_slot[s] = p.first_slot + (p.periods - 1) * p.period + slots[-1]
-    short = sorted((last_slot[s], blocks[s] * block_docs - n) for s, n in counts.items() if n % block_docs)
-    step = "phase int, first_slot bigint, first_block bigint, last_block bigint, share bigint, period bigint, slots array<int>"
-    rows = [(s, [(i, p.first_slot, p.first_block[s], p.first_block[s] + p.periods * len(p.slots[s]), len(p.slots[s]), p.period, p.slots[s]) for i, p in enumerate(plan) if s in p.slots]) for s in counts]
-    table = spark.createDataFrame(rows, f"__s string, __steps array<struct<{', '.join(x.replace(' ', ':', 1) for x in step.split(', '))}>>")
-    joined = ranked.join(F.broadcast(table), ranked["__source"] == table["__s"])
-    block = F.floor(F.col("__rank") / block_docs) if block_docs > 1 else F.col("__rank")
-    one = joined.withColumn("__block", block.cast("long"))
-    one = one.withColumn("__p", F.element_at(F.filter("__steps", lambda x: (x["first_block"] <= F.col("__block")) & (F.col("__block") < x["last_block"])), 1)).drop("__steps", "__s")
-    own = F.col("__block") - F.col("__p.first_block")
-    share, length, start = F.col("__p.share"), F.col("__p.period"), F.col("__p.first_slot")
-    turn, at = F.floor(own / share), own % share
-    slot = start + turn * length + F.get("__p.slots", at.cast("int"))
-    one = one.withColumn("__slot", slot.cast("long"))
+    tables = timetables(blocks, whole_weights({s: weights[s] for s in counts})) if counts else {}
+    short = sorted((tables[s].slot[-1], blocks[s] * block_docs - n) for s, n in counts.items() if n % block_docs)
+    rows = []
+    for s, of in sizes.items():
+        t = tables[s]
+        for r, n, end in zip(of, of.values(), accumulate(of.values())):
+            first, last = (end - n) // block_docs, (end - 1) // block_docs + 1
+            rows.append((s, r, end - n, first, *(x[first:last] for x in (t.slot, t.release, t.deadline)), t.first_block, t.weight))
+    names = ["__s", "__r", "__start", "__first", "__slots", "__releases", "__deadlines", "__phases", "__weights"]
+    kinds = [pa.string(), *[pa.int64()] * 3, *[pa.list_(pa.int64())] * 4, pa.list_(pa.float64())]
+    table = spark.createDataFrame(pa.table([pa.array([row[i] for row in rows], kind) for i, kind in enumerate(kinds)], names=names))
+    # Both sides are partitioned by the keys, or the table is small: the documents aren't shuffled again.
+    one = ranked.join(table, (F.col("__source") == F.col("__s")) & (F.col("__range") == F.col("__r")))
+    rank = F.col("__start") + F.col("__row") - 1
+    block = F.floor(rank / block_docs).cast("long") if block_docs > 1 else rank
+    of = lambda name: F.get(name, (block - F.col("__first")).cast("int"))
+    phase = F.size(F.filter("__phases", lambda x: x <= block)) - 1
     missing_before = F.lit(0)
     if short:
         literal = F.array(*[F.struct(F.lit(at).cast("long").alias("slot"), F.lit(gap).cast("long").alias("gap")) for at, gap in short])
-        missing_before = F.aggregate(literal, F.lit(0).cast("long"), lambda acc, x: acc + F.when(x["slot"] < F.col("__slot"), x["gap"]).otherwise(F.lit(0)))
-    position = F.col("__slot") * block_docs + F.col("__rank") % block_docs - missing_before
-    deadline = start + turn * length + F.ceil((at + 1) * length / share)
-    release = start + turn * length + F.floor(at * length / share)
-    struct = F.struct(F.col("__block").alias("block"), F.col("__p.phase").alias("phase"), release.cast("long").alias("release"), deadline.cast("long").alias("deadline"), F.col("__slot").alias("slot"), position.cast("long").alias("position"), (share / length).alias("weight"))
-    return one.withColumn("__at", struct).drop("__p", "__slot", "__block", "__rank", "__source")
+        missing_before = F.aggregate(literal, F.lit(0).cast("long"), lambda acc, x: acc + F.when(x["slot"] < of("__slots"), x["gap"]).otherwise(F.lit(0)))
+    position = of("__slots") * block_docs + rank % block_docs - missing_before
+    struct = F.struct(block.alias("block"), phase.alias("phase"), of("__releases").alias("release"), of("__deadlines").alias("deadline"), of("__slots").alias("slot"), position.cast("long").alias("position"), F.get("__weights", phase).alias("weight"))
+    return one.withColumn("__at", struct).drop(*names, "__source", "__range", "__row")
+
 
+def positions(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict | None = None, block_docs: int = 16, period: int | None = None, alpha: float = 0.5, range_rows: int = 50_000) -> DataFrame:
+    """One row per document: id, source, block, phase, release, deadline, slot, position (from 0), weight (the target in its phase).
 
-def positions(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict | None = None, block_docs: int = 16, period: int = 1000, alpha: float = 0.5, range_rows: int = 50_000) -> DataFrame:
-    """One row per document: id, source, block, phase, release, deadline, slot, position (from 0), weight (of its phase)."""
+    ``period`` has no effect: weights aren't rounded to slots of a period.
+    """
     narrow = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"))
-    placed = _placed(narrow, "id", "source", weights, block_docs, period, alpha, range_rows)
+    placed = _placed(narrow, "id", "source", weights, block_docs, alpha, range_rows)
     return placed.select("id", "source", "__at.*")
 
 
-def interleave(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict | None = None, block_docs: int = 16, period: int = 1000, alpha: float = 0.5, range_rows: int = 50_000) -> DataFrame:
+def interleave(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict | None = None, block_docs: int = 16, period: int | None = None, alpha: float = 0.5, range_rows: int = 50_000) -> DataFrame:
     """The documents, all columns kept, in the order of the mix: partition after partition, and sorted within each."""
-    placed = _placed(docs, id_col, source_col, weights, block_docs, period, alpha, range_rows)
+    placed = _placed(docs, id_col, source_col, weights, block_docs, alpha, range_rows)
     return placed.repartitionByRange("__at.position").sortWithinPartitions("__at.position").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -54,3 +54,15 @@ def test_interleave_keeps_rows_and_order(spark, tmp_path):
     ids = [r["doc_id"] for f in sorted((tmp_path / "out").glob("*.parquet")) for r in spark.read.parquet(str(f)).collect()]
     assert ids == [r["id"] for r in mixing.positions(docs).orderBy("position").collect()]
     assert spark.read.parquet(str(tmp_path / "out")).columns == docs.columns
+
+
+def test_targets_hold_over_many_periods(spark):
+    rows = [(i, "t", "en", "abc"[i % 3]) for i in range(24_000)] + [(24_000 + i, "t", "en", "rare") for i in range(3)]
+    weights = {"a": 1.0, "b": 1.0, "c": 1.0, "rare": 3e-5}
+    got = mixing.positions(frame(spark, rows).drop("n_chars"), weights=weights, block_docs=1).toPandas().sort_values("slot")
+    first = got[got.phase == 0]
+    assert len(first) > 20_000 and sorted(got.position) == list(range(len(rows)))
+    for s, w in weights.items():
+        target = w / sum(weights.values())
+        assert np.abs((first.source == s).cumsum().to_numpy() - target * np.arange(1, len(first) + 1)).max() < 1
+        assert np.allclose(first[first.source == s].weight, target)
