@@ -187,3 +187,20 @@ def interleave(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sourc
     """The documents, all columns kept, in the order of the mix: partition after partition, and sorted within each."""
     placed = _placed(docs, id_col, source_col, weights, block_docs, alpha, range_rows)
     return placed.repartitionByRange("__at.position").sortWithinPartitions("__at.position").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def stored_order(docs: DataFrame, position_col: str) -> DataFrame:
+    """A table of Parquet files as ``interleave`` wrote it, with each row's place (from 0): files in order of name, and their rows.
+
+    The driver sees one row a file; the texts aren't shuffled.
+    """
+    name, row = F.col("_metadata.file_name"), F.col("_metadata.row_index")
+    sizes = docs.groupBy(name.alias("__name")).agg(F.count(F.lit(1)).alias("n")).collect()
+    start, rows = 0, []
+    for r in sorted(sizes, key=lambda r: r["__name"]):
+        rows.append((r["__name"], start))
+        start += r["n"]
+    starts = docs.sparkSession.createDataFrame(rows, "__name string, __start bigint")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c != position_col]
+    placed = docs.select(*kept, name.alias("__name"), row.alias("__row"))
+    return placed.join(F.broadcast(starts), "__name").select(*kept, (F.col("__start") + F.col("__row")).alias(position_col))

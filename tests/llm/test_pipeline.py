@@ -1,7 +1,7 @@
 import pytest
 
 import corpus_pipeline
-from quillstream.llm import queries, quality_classifier, quality_rules, simhash
+from quillstream.llm import mixing, queries, quality_classifier, quality_rules, simhash
 from quillstream.llm.support import materialise, read_table
 from quillstream.session import ship
 
@@ -41,6 +41,17 @@ def test_stages_one_by_one(spark):
     assert ids(corpus_pipeline.run(spark, SF)) == ids(coded)
 
 
+def test_order_of_the_mix_is_in_the_result(spark):
+    got = corpus_pipeline.run(spark, SF).select("doc_id", "source", "position").toPandas().sort_values("position")
+    assert list(got.position) == list(range(len(got)))
+    plan = mixing.positions(spark.createDataFrame(got[["doc_id", "source"]])).toPandas().sort_values("position")
+    assert list(got.doc_id) == list(plan.id)
+    first = plan[plan.phase == 0]
+    served = got.source.iloc[: len(first)]
+    for s, w in first.groupby("source").weight.first().items():
+        assert abs((served == s).sum() - w * len(first)) <= 2 * 16
+
+
 def test_registered_names():
     assert [f"op{n}_" for n in range(1, 11)] == [f"{q.split('_')[0]}_" for q in queries.QUERIES]
     assert len(corpus_pipeline.STAGES) == 5
