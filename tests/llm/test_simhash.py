@@ -148,3 +148,20 @@ def test_keep_one_in_a_family_of_a_shared_passage(spark):
     assert all(alike(i, 10_000 + i) >= 0.8 for i in range(60)) and all(0.7 < alike(i, i + 1) < 0.8 for i in range(1999))
     kept = {r["doc_id"] for r in simhash.keep_one(frame(spark, [(i, " ".join(w)) for i, w in texts.items()])).collect()}
     assert kept == set(range(2000))
+
+
+def test_keep_one_of_texts_with_equal_fingerprints(spark):
+    """A third text is at 0.8 to one of two texts with one fingerprint, but below it to the one with the least hash."""
+    signed_hash = lambda t: simhash.signed(xxhash.xxh64_intdigest(t, 42))
+    for seed in range(500):
+        one = prose(seed, 2000, 10**6).split()
+        two = one.copy()
+        two[1500] = "changed"
+        a, b = " ".join(one), " ".join(two)
+        if signed_hash(b) < signed_hash(a) and simhash.fingerprint(a, 5) == simhash.fingerprint(b, 5):
+            break
+    else:
+        raise AssertionError("no such pair")
+    third = one[:200] + prose(1001, 217, 10**6).split() + one[417:]
+    kept = {r["doc_id"] for r in simhash.keep_one(frame(spark, [(1, a), (2, b), (3, " ".join(third))])).collect()}
+    assert kept == {1}
