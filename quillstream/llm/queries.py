@@ -38,15 +38,9 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The reference text is every document that is labelled good and not toxic.
-
-    Its size is found from ids and lengths alone, so texts are joined with labels once, by a shuffle at every size.
-    """
+    """The reference text is every document that is labelled good and not toxic."""
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
-    good = labels.where("quality = 1 AND toxic = 0").select("doc_id").distinct().hint("shuffle_hash")
-    sizes = docs.select("doc_id", F.char_length("text").alias("n")).join(good, "doc_id", "left_semi")
-    chars = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return lm_score.score(docs, docs.select("doc_id", "text").join(good, "doc_id", "left_semi"), reference_chars=chars).withColumnRenamed("id", "doc_id")
+    return lm_score.score(docs, labels.where("quality = 1 AND toxic = 0")).withColumnRenamed("id", "doc_id")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -14,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,11 +41,51 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{base}"
 
 
+_written: dict[str, Callable[[], bool]] = {}
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes a frame to the shared folder and reads it back: later jobs neither recompute it nor depend on its executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes a frame to the shared folder and reads it back: later jobs neither recompute it nor depend on its executors.
+
+    The table goes with ``discard``, or else when Python ends: a result may be read until then.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    if not _written:
+        atexit.register(_discard_all)
+    _written[path] = lambda: jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf).delete(jvm.org.apache.hadoop.fs.Path(path), True)
+    before = spark.conf.get(CLEANUP_KEY)
+    spark.conf.set(CLEANUP_KEY, "true")  # the shuffle files go as soon as the table is there
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP_KEY, before)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._written_at = path
+    return back
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a table that ``materialise`` returned; nothing may read it any more."""
+    if delete := _written.pop(table._written_at, None):
+        delete()
+
+
+def _discard_all() -> None:
+    while _written:
+        try:
+            _written.popitem()[1]()
+        except Exception:  # the JVM has ended before Python
+            return
+
+
+def release_memory() -> None:
+    """Gives a Python worker's freed memory back to the system at the end of a partition, as the next task there may be another operator's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def crc_bucket(id_col: str, n: int):
