@@ -12,7 +12,8 @@ kept per worker in a bounded table; forward-backward runs over many documents at
 
 Defined cases: null texts and texts without letters give ``und`` with score 0, as do all texts if there is nothing to learn from; texts of
 more than ``SEGMENT`` words are decoded in consecutive segments, whose posteriors add up; repeated rows each get their row;
-extra columns are ignored. Nothing is shuffled.
+extra columns are ignored; languages of equal posterior: the first by name; an empty table gives an empty result. Nothing is
+shuffled. Letters are the characters of Unicode's letter categories.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import WordTable, crc_bucket, expected_sample, ranges_of, text_of
+from .support import WordTable, crc_bucket, expected_sample, ranges_of, release_memory, slices, text_of
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 15
@@ -38,7 +39,9 @@ SEGMENT = 50_000
 BATCH_WORDS = 400_000
 LEXICON = 150
 
-words_of = re.compile(r"[^\W\d_]+").findall
+# Letters alone: \w also has fractions, superscripts and the like.
+OTHER = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+words_of = re.compile(rf"[^\W\d_{OTHER}]+").findall
 
 
 @dataclass(frozen=True)
@@ -270,10 +273,10 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(shared.value)
         for whole in batches:
-            for at in range(0, whole.num_rows, batch_docs):
-                batch = whole.slice(at, batch_docs)
+            for batch in slices(whole, 1, batch_docs):
                 found = tagger.classify(batch.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=["id", "lang_pred", "score"])
+        release_memory()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double")

@@ -19,7 +19,8 @@ its documents to the power ``alpha``.
 
 Defined cases: documents without a source form a source of their own; sources that the weights don't name raise an error;
 weights of sources without documents are left out; repeated rows each get their position (which of them comes first is open when
-their ids are equal); an empty table gives an empty result. ``positions`` ignores extra columns; ``interleave`` keeps all.
+their ids are equal); an empty table gives an empty result. ``positions`` ignores extra columns;
+``interleave`` keeps all, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .support import whole_rows
+
 SEED = 1
 HASH_BITS = 40
 LAST = (1 << 63) - 1
@@ -118,9 +121,9 @@ def source_key(source_col: str):
     return F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))
 
 
-def _numbered(docs: DataFrame, id_col: str, source_col: str, range_rows: int) -> tuple[DataFrame, dict]:
-    """The documents with __source, __range and __row (from 1 within both), and by source the number of documents of each range."""
-    hashed = docs.withColumns({"__source": source_key(source_col), "__hash": F.shiftrightunsigned(F.xxhash64(F.lit(SEED), F.col(id_col)), 64 - HASH_BITS)})
+def _numbered(docs: DataFrame, range_rows: int) -> tuple[DataFrame, dict]:
+    """The rows (id, source and others) with __source, __range and __row (from 1 within both), and by source the number of rows of each range."""
+    hashed = docs.withColumns({"__source": source_key("source"), "__hash": F.shiftrightunsigned(F.xxhash64(F.lit(SEED), F.col("id")), 64 - HASH_BITS)})
     counts = {r["__source"]: r["n"] for r in hashed.groupBy("__source").agg(F.count(F.lit(1)).alias("n")).collect()}
     ranges = F.lit(1)
     for s, n in counts.items():
@@ -131,14 +134,14 @@ def _numbered(docs: DataFrame, id_col: str, source_col: str, range_rows: int) ->
     sizes: dict = {s: {} for s in counts}
     for r in placed.groupBy("__source", "__range").agg(F.count(F.lit(1)).alias("n")).orderBy("__source", "__range").collect():
         sizes[r["__source"]][r["__range"]] = r["n"]
-    within = Window.partitionBy("__source", "__range").orderBy("__hash", id_col)
+    within = Window.partitionBy("__source", "__range").orderBy("__hash", "id")
     return placed.withColumn("__row", F.row_number().over(within)).drop("__hash"), sizes
 
 
-def _placed(docs: DataFrame, id_col: str, source_col: str, weights: dict | None, block_docs: int, alpha: float, range_rows: int) -> DataFrame:
-    """The documents with a struct __at: block, phase, release, deadline, slot, position, weight."""
+def _placed(docs: DataFrame, weights: dict | None, block_docs: int, alpha: float, range_rows: int) -> DataFrame:
+    """The rows (id, source and others) with a struct __at: block, phase, release, deadline, slot, position, weight."""
     spark = docs.sparkSession
-    ranked, sizes = _numbered(docs, id_col, source_col, range_rows)
+    ranked, sizes = _numbered(docs, range_rows)
     counts = {s: sum(x.values()) for s, x in sizes.items()}
     if weights is None:
         weights = {s: n**alpha for s, n in counts.items()}
@@ -179,14 +182,14 @@ def positions(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source
     ``period`` has no effect: weights aren't rounded to slots of a period.
     """
     narrow = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"))
-    placed = _placed(narrow, "id", "source", weights, block_docs, alpha, range_rows)
+    placed = _placed(narrow, weights, block_docs, alpha, range_rows)
     return placed.select("id", "source", "__at.*")
 
 
 def interleave(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict | None = None, block_docs: int = 16, period: int | None = None, alpha: float = 0.5, range_rows: int = 50_000) -> DataFrame:
     """The documents, all columns kept, in the order of the mix: partition after partition, and sorted within each."""
-    placed = _placed(docs, id_col, source_col, weights, block_docs, alpha, range_rows)
-    return placed.repartitionByRange("__at.position").sortWithinPartitions("__at.position").select(*[F.col(f"`{c}`") for c in docs.columns])
+    placed = _placed(whole_rows(docs, id=F.col(id_col), source=F.col(source_col)), weights, block_docs, alpha, range_rows)
+    return placed.repartitionByRange("__at.position").sortWithinPartitions("__at.position").select("row.*")
 
 
 def stored_order(docs: DataFrame, position_col: str) -> DataFrame:
@@ -194,13 +197,13 @@ def stored_order(docs: DataFrame, position_col: str) -> DataFrame:
 
     The driver sees one row a file; the texts aren't shuffled.
     """
-    name, row = F.col("_metadata.file_name"), F.col("_metadata.row_index")
-    sizes = docs.groupBy(name.alias("__name")).agg(F.count(F.lit(1)).alias("n")).collect()
+    name = F.col("_metadata.file_name")
+    sizes = docs.groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("n")).collect()
     start, rows = 0, []
-    for r in sorted(sizes, key=lambda r: r["__name"]):
-        rows.append((r["__name"], start))
+    for r in sorted(sizes, key=lambda r: r["name"]):
+        rows.append((r["name"], start))
         start += r["n"]
-    starts = docs.sparkSession.createDataFrame(rows, "__name string, __start bigint")
-    kept = [F.col(f"`{c}`") for c in docs.columns if c != position_col]
-    placed = docs.select(*kept, name.alias("__name"), row.alias("__row"))
-    return placed.join(F.broadcast(starts), "__name").select(*kept, (F.col("__start") + F.col("__row")).alias(position_col))
+    starts = docs.sparkSession.createDataFrame(rows, "name string, start bigint")
+    kept = [c for c in docs.columns if c != position_col]
+    placed = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), name.alias("name"), F.col("_metadata.row_index").alias("at"))
+    return placed.join(F.broadcast(starts), "name").select("row.*", (F.col("start") + F.col("at")).alias(position_col))

@@ -20,12 +20,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from .quality_rules import SYMBOLS, duplicate_lines, repeat_words
-from .support import WordTable, bytes_of, crc_bucket, materialise, text_of, texts_in
+from .support import WordTable, bytes_of, crc_bucket, materialise, release_memory, text_of, texts_in
 
 FEATURES = 192
 RIDGE = 1e-3
@@ -93,6 +93,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             flat = np.concatenate(rows) if rows else np.zeros(0)
             offsets = np.arange(len(rows) + 1, dtype=np.int32) * N_STATS
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, flat)], names=["id", "stats"])
+        release_memory()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, stats array<double>")
@@ -190,18 +191,21 @@ def score(stats: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", keep_at: float = 0.7) -> DataFrame:
-    """The documents that score at least ``keep_at``, with all their columns; nothing is shuffled."""
+    """The documents that score at least ``keep_at``, with all their columns; nothing is shuffled.
+
+    Python sees the texts alone and returns the verdict.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @arrow_udf("boolean")
+    def verdict(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Statistics()
-        for batch in batches:
-            if batch.num_rows:
-                stats = np.stack([own.of(t) for t in texts_in(pc.cast(batch.column(at), pa.string()))])
-                yield batch.filter(pa.array(_calibrated(_raw(stats, shared.value), shared.value) >= keep_at))
+        for column in columns:
+            stats = np.array([own.of(t) for t in texts_in(column)]).reshape(-1, N_STATS)
+            yield pa.array(_calibrated(_raw(stats, shared.value), shared.value) >= keep_at)
+        release_memory()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(verdict(F.col(f"`{text_col}`").cast("string")))
 
 
 def held_out(id_col: str = "id"):

@@ -10,7 +10,8 @@ probabilities (Platt). It is then applied in Arrow batches against the fixed thr
 Defined cases: a null text has no words; texts below 50 words or with more than half of their words in repeated three-word
 windows fail the base rules; several labels of one id count as the larger;
 without labelled rows of both classes the verdict keeps what passes the base rules; repeated
-rows each get their row; extra columns are ignored by ``assess`` and kept as they are by ``keep_good``.
+rows each get their row; an empty table gives an empty result; extra columns are ignored by ``assess`` and kept as they are,
+whatever their names, by ``keep_good``.
 """
 
 from __future__ import annotations
@@ -23,11 +24,11 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
-from .support import WordTable, bytes_of, expected_sample, ranges_of, text_of, texts_in
+from .support import WordTable, bytes_of, expected_sample, ranges_of, release_memory, text_of, texts_in
 
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -240,6 +241,7 @@ def assess(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             columns = [list(c) for c in zip(*out)] if out else [[]] * 8
             kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds)]], names=["id", *[x.split()[0] for x in ASSESSED.split(", ")]])
+        release_memory()
 
     kind = docs.schema[id_col].dataType.simpleString()
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -247,17 +249,21 @@ def assess(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
-    """The documents that pass the base rules and the verdict, with all their columns; nothing is shuffled."""
+    """The documents that pass the base rules and the verdict, with all their columns; nothing is shuffled.
+
+    Python sees the texts alone and returns the verdict.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @arrow_udf("boolean")
+    def verdict(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(shared.value)
-        for batch in batches:
+        for column in columns:
             keep = []
-            for text in texts_in(pc.cast(batch.column(at), pa.string())):
+            for text in texts_in(column):
                 ids = scorer.words.rows(bytes_of(text).split())
                 keep.append(not failed(len(ids), repeat_words(ids), limits) and scorer.probability(ids) >= limits.keep_at)
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.array(keep, pa.bool_())
+        release_memory()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(verdict(F.col(f"`{text_col}`").cast("string")))

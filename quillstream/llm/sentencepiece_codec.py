@@ -3,11 +3,12 @@
 The model file is parsed here and rebuilt as a tokenizers.Tokenizer: normaliser, word-start marks, unigram scores (or, for a
 BPE file, the merge list that its scores stand for), byte fallback. If no piece runs over a word start, texts are
 normalised, cut at word starts, and only words that a worker hasn't met are encoded, all of a batch's in one multithreaded
-call; a text's ids are then put together from its words'. The table of words is bounded. At its first use in a worker the
+call; a text's ids are then put together from its words'. The table of words is bounded in words and bytes, but for the words
+of the few texts at hand. At its first use in a worker the
 rebuilt tokenizer is compared with the sentencepiece library on probe texts; a difference stops the job.
 
 Nothing is shuffled. Defined cases: a null text gives null ids, zero tokens and a null decoded text; an empty text gives no ids; repeated
-rows each get their row; every input column is kept by ``encode`` unless it has the name of a new one, which then replaces it.
+rows each get their row; a very long text is encoded whole, so memory grows with it; an empty table gives an empty result; every input column is kept by ``encode`` unless it has the name of a new one, which then replaces it.
 """
 
 from __future__ import annotations
@@ -21,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
 from .sentencepiece_model import BYTE, CONTROL, MARK, UNKNOWN, default_model_path, load, tokenizer
+from .support import ranges_of, release_memory, slices
 
 PROBES = ["", " ", "a", "Hello  world", "  two\n\tlines \r\n", "éè 中文 \U0001f600 ﬁ", "x" * 70 + "   7*7 = 49", "▁ mark▁ed", "a    b      c          d", "\x00\x1f\x7f"]
-WORDS_HELD = 250_000
+WORDS_HELD, BYTES_HELD = 250_000, 32 << 20
 TEXTS_AT_ONCE = 512
 
 
@@ -37,6 +40,7 @@ class Codec:
         self.tokenizer = tokenizer(self.model)
         self.by_words = self.model.splits_at_marks()
         self.words: dict[str, bytes] = {}
+        self.held = 0
         self.find = re.compile(f"^[^{MARK}]+|{MARK}+[^{MARK}]*").findall
         plain = not self.model.charsmap and not self.model.remove_extra_whitespaces
         self.normalise = self._plain if plain else self.tokenizer.normalizer.normalize_str
@@ -63,8 +67,8 @@ class Codec:
         """The ids of each text, as int32."""
         if not self.by_words:
             return [np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        if len(self.words) >= WORDS_HELD:
-            self.words.clear()
+        if len(self.words) >= WORDS_HELD or self.held > BYTES_HELD:
+            self.forget()
         known = self.words
         out = []
         for at in range(0, len(texts), TEXTS_AT_ONCE):
@@ -74,9 +78,15 @@ class Codec:
                     some = new[at_new : at_new + 5_000]
                     for word, found in zip(some, self._encode_words(some)):
                         known[word] = np.array(found.ids, dtype=np.int32).tobytes()
+                        self.held += len(word) + len(known[word])
             out.extend(np.frombuffer(b"".join(map(known.__getitem__, words)), dtype=np.int32) for words in cut)
         return out
 
+    def forget(self) -> None:
+        """Drops the table of words."""
+        self.words.clear()
+        self.held = 0
+
     @functools.cached_property
     def _bare(self):
         from tokenizers import Tokenizer
@@ -106,7 +116,7 @@ class Codec:
 
 @functools.cache
 def codec(path: str) -> Codec:
-    """One codec a worker process and file: tasks that run in the same worker share its words."""
+    """One codec a worker process and file; its words go at the end of each partition."""
     return Codec(path)
 
 
@@ -115,32 +125,34 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, ids
     path = path or default_model_path()
     new = [ids_col, count_col, *([round_trip_col] if round_trip_col else [])]
     kept = [c for c in docs.columns if c not in new]
-    fields = [docs.schema[c] for c in kept]
-    schema = T.StructType([*fields, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False)), T.StructField(count_col, T.LongType()), *([T.StructField(round_trip_col, T.BooleanType())] if round_trip_col else [])])
+    kinds = [T.ArrayType(T.IntegerType(), False), T.LongType(), T.BooleanType()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @arrow_udf(T.StructType([T.StructField(name, kind) for name, kind in zip(new, kinds)]))
+    def coded(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(path)
-        for batch in batches:
-            column = batch.column(batch.num_columns - 1)
-            none = column.is_null()
+        for column in columns:
             ids, same = [], []
-            for at in range(0, len(column), TEXTS_AT_ONCE):
-                texts = column.slice(at, TEXTS_AT_ONCE).to_pylist()
+            for part in slices(pa.RecordBatch.from_arrays([column], names=["text"]), 0, TEXTS_AT_ONCE):
+                texts = part.column(0).to_pylist()
                 made = own.encode([t or "" for t in texts])
                 ids.extend(made)
                 if round_trip_col:
                     same.extend(None if t is None else own.decode(i.tolist()) == t for t, i in zip(texts, made))
             sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-            offsets = np.zeros(len(ids) + 1, dtype=np.int32)
-            np.cumsum(sizes, out=offsets[1:])
             flat = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)
-            lists = pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()), mask=none)
-            columns = [*batch.columns[:-1], lists, pa.array(sizes)]
-            if round_trip_col:
-                columns.append(pa.array(same, pa.bool_()))
-            yield pa.RecordBatch.from_arrays(columns, names=[*kept, *new])
+            lists = pa.ListArray.from_arrays(ranges_of(sizes).astype(np.int32), pa.array(flat, pa.int32()), mask=column.is_null())
+            yield pa.StructArray.from_arrays([lists, pa.array(sizes), *([pa.array(same, pa.bool_())] if round_trip_col else [])], names=new)
+        own.forget()
+        release_memory()
+
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")
+    return docs.select(row, coded(F.col(f"`{text_col}`").cast("string")).alias("coded")).select("row.*", "coded.*")
+
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").cast("string").alias("__text")).mapInArrow(run, schema)
+def ids_in(column: pa.Array) -> Iterator[list[int] | None]:
+    """The lists of ids of an Arrow column, a few at a time."""
+    for at in range(0, len(column), 64):
+        yield from column.slice(at, 64).to_pylist()
 
 
 def decode(rows: DataFrame, ids_col: str = "ids", path: str | None = None, text_col: str = "decoded") -> DataFrame:
@@ -148,11 +160,11 @@ def decode(rows: DataFrame, ids_col: str = "ids", path: str | None = None, text_
     path = path or default_model_path()
     kept = [c for c in rows.columns if c != text_col]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @arrow_udf("string")
+    def decoded(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(path)
-        for batch in batches:
-            texts = [None if i is None else own.decode(i) for i in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*kept, text_col])
+        for column in columns:
+            yield pa.array([None if i is None else own.decode(i) for i in ids_in(column)], pa.string())
+        release_memory()
 
-    schema = T.StructType([*[rows.schema[c] for c in kept], T.StructField(text_col, T.StringType())])
-    return rows.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{ids_col}`").alias("__ids")).mapInArrow(run, schema)
+    return rows.select(*[F.col(f"`{c}`") for c in kept], decoded(F.col(f"`{ids_col}`")).alias(text_col))

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import materialise, text_of, texts_in
+from .support import discard, materialise, release_memory, slices, text_of, texts_in, whole_rows
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -118,6 +118,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             fps = np.array([fingerprint(t, shingle_words) for t in texts_in(batch.column(2))], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], names=["id", "text_hash", "fp"])
+        release_memory()
 
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.col(text_col).cast("string")
@@ -248,7 +249,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lower, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(lower.select("a", F.col("m").alias("b"))).distinct()
-        stars = materialise(small, "stars")
+        old, stars = stars, materialise(small, "stars")
+        discard(old)
         now = mark(stars)
         if now == before:
             break
@@ -306,14 +308,14 @@ def _prefixes(shingle_words: int, similarity: float, common: np.ndarray, counts:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in slices(batch, 1, 512):
                 sets = [shingle_set(t, shingle_words) for t in texts_in(part.column(1))]
                 firsts = [first(x) for x in sets]
                 sizes = [len(x) for x in firsts]
                 hashes = np.repeat(part.column(0).to_numpy(), sizes)
                 n = np.repeat(np.array([len(x) for x in sets], dtype=np.int32), sizes)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts)), pa.array(hashes), pa.array(n)], names=["shingle", "text_hash", "n"])
+        release_memory()
 
     return run
 
@@ -410,11 +412,11 @@ def _shingle_sets(shingle_words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in slices(batch, 1, 512):
                 sets = [shingle_set(t, shingle_words) for t in texts_in(part.column(1))]
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets), pa.int64()))], names=["text_hash", "shingles"])
+        release_memory()
 
     return run
 
@@ -428,7 +430,9 @@ def _verified(pairs: DataFrame, keyed: DataFrame, rows: DataFrame, similarity: f
     left, right = (sets.select(F.col("text_hash").alias(p), F.col("shingles").alias(x)) for p, x in (("a", "x"), ("b", "y")))
     both = F.size(F.array_intersect("x", "y"))
     all_of = F.size("x") + F.size("y") - both
-    return materialise(pairs.join(left, "a").join(right, "b").where(both >= F.lit(similarity) * all_of).select("a", "b"), "verified")
+    found = materialise(pairs.join(left, "a").join(right, "b").where(both >= F.lit(similarity) * all_of).select("a", "b"), "verified")
+    discard(sets)
+    return found
 
 
 def similar(marked: DataFrame, keyed: DataFrame, similarity: float, shingle_words: int) -> DataFrame:
@@ -453,7 +457,11 @@ def similar(marked: DataFrame, keyed: DataFrame, similarity: float, shingle_word
     members = members.select("shingle", F.coalesce("root", "node").alias("root"), F.col("node").alias("text_hash"), "n")
     apart = members.repartition("shingle").sortWithinPartitions("shingle", "root").mapInArrow(_apart(similarity), "a bigint, b bigint")
     rest = materialise(apart.distinct().join(near, ["a", "b"], "left_anti"), "apart")
-    return linked.unionByName(_verified(rest, keyed, rows, similarity, shingle_words))
+    discard(met)
+    more = _verified(rest, keyed, rows, similarity, shingle_words)
+    for table in (near, rest, rows):
+        discard(table)
+    return linked.unionByName(more)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -463,11 +471,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     All columns are kept as they are. Texts are shuffled to verify pairs, and to keep the survivors.
     """
     keys = ["__text", "__row"]
-    names = [F.col(f"`{c}`") for c in docs.columns]
     text = F.col(text_col).cast("string")
-    row = [F.xxhash64(F.coalesce(text, F.lit(""))).alias("__text"), F.xxhash64(id_col).alias("__row")]
-    marked = materialise(docs.select(F.col(id_col).alias("id"), row[0].alias("text_hash")), "marked")
-    links_too = similar(marked, docs.select(*row, text.alias("text")), similarity, shingle_words)
+    row = {"__text": F.xxhash64(F.coalesce(text, F.lit(""))), "__row": F.xxhash64(id_col)}
+    marked = materialise(docs.select(F.col(id_col).alias("id"), row["__text"].alias("text_hash")), "marked")
+    links_too = similar(marked, docs.select(*[value.alias(name) for name, value in row.items()], text.alias("text")), similarity, shingle_words)
     firsts = classes(marked.withColumn("fp", F.col("text_hash")), edges=links_too).select(F.col("first.text_hash").alias("__text"), F.xxhash64("first.id").alias("__row")).distinct()
-    stay = docs.select(*names, *row).join(firsts.hint("shuffle_hash"), keys, "left_semi")
-    return stay.dropDuplicates(keys).select(*names)
+    stay = whole_rows(docs, **row).join(firsts.hint("shuffle_hash"), keys, "left_semi")
+    return stay.dropDuplicates(keys).select("row.*")

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,10 +111,26 @@ def expected_sample(df: DataFrame, id_col: str, group_col: str | None, per_group
     return df.where(draw < limit)
 
 
+def slices(batch: pa.RecordBatch, texts: int, rows: int = 256, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of at most so many rows and, but for single rows, so many bytes of the column numbered ``texts``."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(texts)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        to = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, side="right"))), batch.num_rows)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def texts_in(column: pa.Array, rows: int = 256) -> Iterator[str | None]:
     """The texts of an Arrow column, a few at a time: a batch's texts are never all Python strings at once."""
-    for at in range(0, len(column), rows):
-        yield from column.slice(at, rows).to_pylist()
+    for part in slices(pa.RecordBatch.from_arrays([column], names=["text"]), 0, rows):
+        yield from part.column(0).to_pylist()
+
+
+def whole_rows(docs: DataFrame, **keys) -> DataFrame:
+    """The documents as one struct column ``row`` beside the keys: no name of theirs can clash with an operator's."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[value.alias(name) for name, value in keys.items()])
 
 
 def text_of(value: str | None) -> str:
@@ -127,23 +144,26 @@ def bytes_of(text: str | None) -> bytes:
 class WordTable(dict):
     """A worker's bounded word table: words (bytes) to row numbers of ``table``, whose rows ``describe`` computes in bulk.
 
-    It empties itself between documents once it holds ``limit`` words: memory stays bounded and results don't depend on it.
+    It empties itself between documents once it holds ``limit`` words or ``size`` bytes of them: memory stays bounded and
+    results don't depend on it.
     """
 
-    def __init__(self, describe: Callable[[list[bytes]], np.ndarray], limit: int = 200_000):
+    def __init__(self, describe: Callable[[list[bytes]], np.ndarray], limit: int = 200_000, size: int = 16 << 20):
         super().__init__()
-        self.describe, self.limit, self.new = describe, limit, []
+        self.describe, self.limit, self.size, self.held, self.new = describe, limit, size, 0, []
         self.table = self.empty = describe([])
 
     def __missing__(self, word: bytes) -> int:
         self.new.append(word)
+        self.held += len(word)
         at = self[word] = len(self)
         return at
 
     def rows(self, words: list[bytes]) -> np.ndarray:
         """The words' row numbers; afterwards ``table`` has all of them."""
-        if len(self) >= self.limit:
+        if len(self) >= self.limit or self.held > self.size:
             self.clear()
+            self.held, self.table = 0, self.empty
         ids = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
         if self.new:
             start, need = len(self) - len(self.new), len(self)

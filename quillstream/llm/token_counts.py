@@ -14,7 +14,8 @@ crosses the boundary in the whole text would also cross it in the pair. Counts t
 
 Nothing is shuffled. Defined cases: a null text counts as empty and has no tokens; a character without a piece counts as its
 UTF-8 bytes if the model falls back on bytes, else as one unknown token (a run of them as one in a unigram model);
-repeated rows each get their row; extra columns are ignored.
+repeated rows each get their row; a very long text is counted whole, so memory grows with its distinct pre-tokens; an empty
+table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sentencepiece_model import MARK, UNIGRAM, Model, default_model_path, load, normaliser
-from .support import text_of
+from .support import release_memory, slices, text_of
 
 UNKNOWN_PENALTY = 10.0
 SPAN = 1 << 32
@@ -65,10 +66,10 @@ class Fits(dict):
 class CountingTrie:
     """Counts the tokens of pre-tokens, sharing the work of common prefixes."""
 
-    def __init__(self, model: Model, words_held: int = 250_000):
+    def __init__(self, model: Model, words_held: int = 250_000, chars_held: int = 8 << 20):
         if not model.splits_at_marks():
             raise ValueError("a piece of this model runs over a word start; its words can't be counted one by one")
-        self.model, self.words_held = model, words_held
+        self.model, self.words_held, self.chars_held, self.held = model, words_held, chars_held, 0
         self.vocab = model.text_pieces()
         self.longest = max(map(len, self.vocab))
         self.unigram = model.algorithm == UNIGRAM
@@ -86,8 +87,8 @@ class CountingTrie:
 
     def count(self, texts: list[str | None]) -> list[int]:
         """The number of tokens of each text."""
-        if len(self.terminals) >= self.words_held:
-            self.terminals.clear()
+        if len(self.terminals) >= self.words_held or self.held > self.chars_held:
+            self.forget()
         out = []
         for at in range(0, len(texts), TEXTS_AT_ONCE):
             cut = [self.find(self.normalise(text_of(t))) for t in texts[at : at + TEXTS_AT_ONCE]]
@@ -105,8 +106,14 @@ class CountingTrie:
             del counts[shared + 1 :], lasts[shared + 1 :], scores[shared + 1 :]
             grow(word, shared, counts, lasts, scores)
             self.terminals[word] = counts[-1]
+            self.held += len(word)
             before = word
 
+    def forget(self) -> None:
+        """Drops the table of pre-tokens."""
+        self.terminals.clear()
+        self.held = 0
+
     def _unknown(self, char: str, last: int) -> int:
         """What an unknown character adds to the count."""
         if self.model.byte_fallback:
@@ -160,7 +167,7 @@ class CountingTrie:
 
 @functools.cache
 def trie(path: str) -> CountingTrie:
-    """One trie a worker process and file: tasks that run in the same worker share it."""
+    """One trie a worker process and file; its pre-tokens go at the end of each partition."""
     return CountingTrie(load(path))
 
 
@@ -172,11 +179,13 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         own = trie(path)
         for batch in batches:
             chars, counts = [], []
-            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                texts = batch.column(1).slice(at, TEXTS_AT_ONCE).to_pylist()
+            for part in slices(batch, 1, TEXTS_AT_ONCE):
+                texts = part.column(1).to_pylist()
                 chars.extend(len(text_of(t)) for t in texts)
                 counts.extend(own.count(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chars, pa.int64()), pa.array(counts, pa.int64())], names=["id", "n_chars", "n_tokens"])
+        own.forget()
+        release_memory()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, n_chars bigint, n_tokens bigint")

@@ -158,6 +158,46 @@ def test_classifier_odd_rows(spark):
     assert quality_classifier.score(quality_classifier.statistics(frame(spark, [])), model).count() == 0
 
 
+def slow_statistics(text):
+    """The statistics of a text, one character at a time."""
+    text = text or ""
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+    n = len(words)
+    if not n:
+        return [0.0] * quality_classifier.N_STATS
+    chars = sum(map(len, words))
+    letters, capitals, digits = (sum(sum(1 for c in w if f(c)) for w in words) for f in (str.isalpha, str.isupper, str.isdigit))
+    shouted = sum(1 for w in words if sum(c.isalpha() for c in w) > 1 and all(c.isupper() for c in w if c.isalpha()))
+    bare = sum(1 for w in words if not any(c.isalpha() for c in w))
+    ended = sum(1 for w in words if not w[-1].isalnum())
+    share = [words.count(w) / n for w in sorted(set(words))]
+    _, _, symbols, again, repeats = slow_counts(text)
+    lines = len(text.split("\n"))
+    return [
+        np.log(1 + n), chars / n, len(share) / n, -sum(p * np.log(p) for p in share) / np.log(n + 1), max(share), symbols / n, text.count("!") / n, letters / chars,
+        capitals / max(letters, 1), digits / chars, shouted / n, bare / n, ended / n, again / lines, repeats / n, np.log(1 + n / lines),
+    ]
+
+
+def test_statistics_like_brute_force(spark):
+    texts = [t for _, t in ODD] + ["AB ab! 12 É3, x\nAB ab!\nAB ab!", "!!! ??? 1.5 OK", "éé ÉÉ ß \x1c x\u2003y", prose(3, 400, 20)]
+    texts += [r["text"] for r in spark.read.parquet(f"{FOLDER}/documents.parquet").limit(60).collect()]
+    got = {r["id"]: r["stats"] for r in quality_classifier.statistics(frame(spark, list(enumerate(texts)))).collect()}
+    for i, text in enumerate(texts):
+        assert np.allclose(got[i], slow_statistics(text)), text[:50]
+
+
+def test_clashing_names_of_the_quality_operators(spark):
+    docs = frame(spark, [*ODD, (20, prose(9, 80))]).selectExpr("*", "lang AS kept", "lang AS score", "lang AS `__text`", "lang AS stats", "lang AS id")
+    model = quality_rules.Model(np.zeros(quality_rules.BUCKETS), 4.0)
+    assert quality_rules.assess(docs, model).count() == docs.count()
+    assert quality_rules.keep_good(docs, model).columns == docs.columns
+    labels = spark.createDataFrame([(8, 1), (20, 1), (9, 0)], "doc_id bigint, quality int")
+    assert isinstance(quality_rules.fit(docs, labels), quality_rules.Model)
+    assert quality_classifier.statistics(docs).count() == docs.count()
+    assert quality_classifier.keep_good(docs, quality_classifier.fit(quality_classifier.statistics(docs), labels), keep_at=0.0).columns == docs.columns
+
+
 # --- language ID ---
 
 
@@ -214,8 +254,8 @@ def test_language_accuracy(spark):
 
 
 def test_language_odd_rows(spark, toy_model):
-    got = {r["id"]: (r["lang_pred"], r["score"]) for r in language_id.classify(frame(spark, [*ODD, (30, "123 !!")]), toy_model).collect()}
-    assert got[1] == got[2] == got[3] == got[30] == ("und", 0.0) and 0 < got[4][1] <= 1
+    got = {r["id"]: (r["lang_pred"], r["score"]) for r in language_id.classify(frame(spark, [*ODD, (30, "123 !!"), (31, "½"), (32, "² ③ Ⅷ"), (33, "½ qo")]).selectExpr("*", "lang AS lang_pred", "1 AS id"), toy_model).collect()}
+    assert got[1] == got[2] == got[3] == got[30] == got[31] == got[32] == ("und", 0.0) and got[33] == (language_id.Tagger(toy_model).classify(["qo"])[0]) and 0 < got[4][1] <= 1
     empty = language_id.fit(frame(spark, []))
     assert {r["lang_pred"] for r in language_id.classify(frame(spark, ODD), empty).collect()} == {"und"}
     assert language_id.classify(frame(spark, []), toy_model).count() == 0

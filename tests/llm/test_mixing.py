@@ -1,9 +1,13 @@
+import itertools
+import math
+from fractions import Fraction
+
 import numpy as np
 import pytest
 
-from quillstream.llm import mixing
+from quillstream.llm import mixing, queries
 
-from .common import ODD, frame
+from .common import FOLDER, ODD, frame
 
 
 def test_schedule_meets_every_deadline():
@@ -66,3 +70,70 @@ def test_targets_hold_over_many_periods(spark):
         target = w / sum(weights.values())
         assert np.abs((first.source == s).cumsum().to_numpy() - target * np.arange(1, len(first) + 1)).max() < 1
         assert np.allclose(first[first.source == s].weight, target)
+
+
+def earliest_deadline(weights, slots):
+    """The source of each slot, slowly: among the blocks whose window is open, the one with the earliest deadline."""
+    exact = {s: Fraction(w) / sum(map(Fraction, weights.values())) for s, w in weights.items()}
+    served, out = dict.fromkeys(weights, 0), []
+    for slot in range(slots):
+        open_ = [(math.ceil((served[s] + 1) / w), s) for s, w in exact.items() if math.floor(served[s] / w) <= slot]
+        due, s = min(open_)
+        assert slot < due
+        served[s] += 1
+        out.append(s)
+    return out
+
+
+@pytest.mark.parametrize("weights", [{"a": 1, "b": 1, "c": 1}, {"a": 0.443, "b": 0.314, "c": 0.162, "d": 0.081}, {str(i): (i + 1) ** 0.5 for i in range(9)}])
+def test_slots_like_brute_force(weights):
+    shares = mixing.whole_weights(weights)
+    names = sorted(shares, key=str)
+    got = [names[i] for i, _, _ in itertools.islice(mixing.earliest([shares[s] for s in names]), 3000)]
+    assert got == earliest_deadline(weights, 3000)
+
+
+def test_unequal_weights_over_a_hundred_thousand_blocks():
+    """Every source stays within one block of its target until one really runs out, whatever the sources' sizes."""
+    weights = {"a": 0.443, "b": 0.314, "c": 0.162, "d": 0.081}
+    tables = mixing.timetables({"a": 60_000, "b": 31_000, "c": 20_000, "d": 9_000}, mixing.whole_weights(weights))
+    slots = {s: np.array(t.slot) for s, t in tables.items()}
+    assert sorted(np.concatenate(list(slots.values()))) == list(range(120_000))
+    first = min(int(slots[s][-1]) for s in weights)
+    assert first > 95_000
+    for s, w in weights.items():
+        served = np.bincount(slots[s][slots[s] <= first], minlength=first + 1).cumsum()
+        assert np.abs(served - w * np.arange(1, first + 2)).max() < 1
+
+
+def test_explicit_weights_in_the_mix(spark):
+    sizes, weights = {"a": 3000, "b": 1500, "c": 400, "d": 100}, {"a": 0.443, "b": 0.314, "c": 0.162, "d": 0.081}
+    rows = [(i, "t", "en", s) for i, s in enumerate(itertools.chain.from_iterable([s] * n for s, n in sizes.items()))]
+    got = mixing.positions(frame(spark, rows), weights=weights, block_docs=1).toPandas().sort_values("slot")
+    first = got[got.phase == 0]
+    assert len(first) > 1200
+    for s, w in weights.items():
+        assert np.abs((first.source == s).cumsum().to_numpy() - w * np.arange(1, len(first) + 1)).max() < 1
+
+
+def test_clashing_names(spark, tmp_path):
+    names = ["__source", "__hash", "__rank", "__p", "__at", "__row", "__range", "row", "id", "slot", "position", "__s", "name", "start", "at", "__name"]
+    docs = frame(spark, [(i, f"t{i}", "en", "ab"[i % 2]) for i in range(100)]).selectExpr("*", *[f"concat('{n}', doc_id) AS `{n}`" for n in names])
+    mixing.interleave(docs).write.parquet(str(tmp_path / "out"))
+    mixed = spark.read.parquet(str(tmp_path / "out"))
+    assert mixed.columns == docs.columns
+    assert all(r[n] == f"{n}{r['doc_id']}" for r in mixed.collect() for n in names)
+    placed = mixing.stored_order(mixed, "place")
+    assert placed.columns == [*docs.columns, "place"]
+    assert all(r[n] == f"{n}{r['doc_id']}" for r in placed.collect() for n in names)
+    assert [r["doc_id"] for r in placed.orderBy("place").collect()] == [r["id"] for r in mixing.positions(docs.select("doc_id", "source")).orderBy("position").collect()]
+
+
+def test_query(spark):
+    got = queries.op1_mix_sources(spark, FOLDER).toPandas()
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").toPandas()
+    assert sorted(got.doc_id) == sorted(docs.doc_id) and sorted(got.position) == list(range(len(docs)))
+    counts = docs.source.value_counts()
+    blocks = got.drop_duplicates(["source", "block"]).sort_values("slot")
+    first = blocks[blocks.phase == 0]
+    assert list(first.source) == earliest_deadline({s: float(n) ** 0.5 for s, n in counts.items()}, len(first))

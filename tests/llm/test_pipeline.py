@@ -1,10 +1,13 @@
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillstream.llm import mixing, queries, quality_classifier, quality_rules, simhash
 from quillstream.llm.support import materialise, read_table
 from quillstream.session import ship
 
+from .common import ODD, frame
+
 SF = "/root/testdata/sf0.01"
 
 
@@ -52,6 +55,23 @@ def test_order_of_the_mix_is_in_the_result(spark):
         assert abs((served == s).sum() - w * len(first)) <= 2 * 16
 
 
+def odd_tables(spark, folder, rows):
+    frame(spark, rows).withColumn("id", F.lit("x")).withColumn("row", F.lit(7)).write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_odd_rows_go_through_all_stages(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, a null id, an empty table, columns whose names the stages use too."""
+    good = [r["text"] for r in corpus_pipeline.run(spark, SF).select("text").limit(40).collect()]
+    rows = [*ODD, *[(100 + i, t) for i, t in enumerate(good)], (100, good[0]), (None, good[1]), (500, good[2])]
+    got = corpus_pipeline.run(spark, odd_tables(spark, tmp_path / "a", rows)).toPandas()
+    assert not got.doc_id.isin([1, 2, 3, 4, 5, 7, 9]).any()
+    assert got.doc_id.dropna().is_unique and sorted(got.position) == list(range(len(got))) and (got.id == "x").all() and got.round_trip.all()
+    assert set(got.doc_id.dropna()) <= {8, *range(100, 140)}
+    assert corpus_pipeline.run(spark, odd_tables(spark, tmp_path / "b", [])).count() == 0
+
+
 def test_registered_names():
     assert [f"op{n}_" for n in range(1, 11)] == [f"{q.split('_')[0]}_" for q in queries.QUERIES]
     assert len(corpus_pipeline.STAGES) == 5

@@ -165,3 +165,36 @@ def test_keep_one_of_texts_with_equal_fingerprints(spark):
     third = one[:200] + prose(1001, 217, 10**6).split() + one[417:]
     kept = {r["doc_id"] for r in simhash.keep_one(frame(spark, [(1, a), (2, b), (3, " ".join(third))])).collect()}
     assert kept == {1}
+
+
+def test_keep_one_with_clashing_names(spark):
+    docs = frame(spark, [(1, prose(1, 60)), (2, prose(1, 60)), (3, prose(2, 60)), *ODD]).selectExpr("*", "doc_id AS __text", "doc_id AS __row", "lang AS fp", "lang AS first", "lang AS `row`", "lang AS a")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and all(r["__text"] == r["doc_id"] and r["row"] == "en" for r in kept.collect())
+    assert sorted(r["doc_id"] for r in kept.select("doc_id").collect() if r["doc_id"]) == sorted(r["doc_id"] for r in simhash.keep_one(docs.select("doc_id", "text")).collect() if r["doc_id"])
+    found = simhash.near_duplicates(docs.withColumnRenamed("lang", "id"))
+    assert found.count() == docs.count()
+
+
+def templated(pairs, base, own, edit, seed=0):
+    """Pages with shared boilerplate: pairs above the threshold, families below it."""
+    draw = random.Random(seed)
+    word = lambda: f"v{draw.randrange(10**6)}"
+    head, tail = [word() for _ in range(base // 2)], [word() for _ in range(base // 2)]
+    rows = []
+    for i in range(pairs):
+        middle = [word() for _ in range(own)]
+        other = [*middle[: own - edit], *[word() for _ in range(edit)]]
+        rows += [(2 * i, " ".join([*head, *middle, *tail])), (2 * i + 1, " ".join([*head, *other, *tail]))]
+    return rows
+
+
+@pytest.mark.parametrize("pairs", [60, 600])
+def test_keep_one_on_templated_pages(spark, pairs):
+    """Similarity is about 0.62 across pairs and 0.85 within: one of each pair stays, at both sizes."""
+    rows = templated(pairs, 160, 45, 12)
+    sets = [set(simhash.shingle_set(t).tolist()) for _, t in rows[:6]]
+    likeness = lambda a, b: len(a & b) / len(a | b)
+    assert likeness(sets[0], sets[1]) >= 0.8 > 0.75 > likeness(sets[0], sets[2])
+    kept = [r["doc_id"] for r in simhash.keep_one(frame(spark, rows)).select("doc_id").collect()]
+    assert sorted(kept) == list(range(0, 2 * pairs, 2))

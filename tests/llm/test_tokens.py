@@ -90,3 +90,22 @@ def test_invalid_bytes_decode_to_replacement_characters():
     other = sentencepiece.SentencePieceProcessor(model_file=PATH)
     ids = [other.piece_to_id("<0xC3>"), other.piece_to_id("▁a")]
     assert codec.decode(ids) == other.decode(ids)
+
+
+def test_clashing_names(spark):
+    docs = frame(spark, ODD).selectExpr("*", "lang AS __text", "lang AS __ids", "lang AS id", "lang AS n_tokens", "lang AS ids")
+    assert token_counts.count_tokens(docs).count() == len(ODD)
+    coded = codec_module.encode(docs)
+    assert coded.columns == [c for c in docs.columns if c not in ("ids", "n_tokens")] + ["ids", "n_tokens"]
+    assert [r["__text"] for r in coded.collect()] == ["en"] * len(ODD)
+    assert {r["decoded"] for r in codec_module.decode(coded).collect()} == {t for _, t in ODD}
+
+
+def test_bounded_tables_change_nothing(monkeypatch):
+    texts = [t for _, t in ODD] + TEXTS
+    want = [x.tolist() for x in codec_module.Codec(PATH).encode([t or "" for t in texts])]
+    monkeypatch.setattr(codec_module, "BYTES_HELD", 100)
+    small = codec_module.Codec(PATH)
+    assert [small.encode([t or ""])[0].tolist() for t in texts] == want
+    counting = token_counts.CountingTrie(model_module.load(PATH), words_held=3)
+    assert [counting.count([t])[0] for t in texts] == list(map(len, want))
