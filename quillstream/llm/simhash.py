@@ -19,10 +19,12 @@ folder; links and labels never reach the driver.
 ``keep_one`` links texts at a Jaccard similarity of 0.8 on five-word shingles. Such pairs differ in four to fifteen bits, far
 beyond what covering tables can reach (2^(radius+1) - 1 of them), so there an exact set join takes their place: shingles have
 one order, rare ones first, and two texts of n shingles each at similarity s share one of the first n - ceil(s n) + 1 of each.
-Texts meet in a bucket for every such shingle. Of larger buckets each member is first compared with the head and the one
-before; what that links is one component already, and then every pair that is still apart is compared. The exact
-similarity of the shingle sets decides on all of them, so no pair is lost. The order rests on a sample of texts: it sets how
-many pairs are compared, never which are found.
+Texts meet in a bucket for every such shingle, and are a pair if the places of the shingle leave room for enough shared ones
+from there on (there is such a bucket, that of the first one that they share). Of larger buckets each member is first compared with the
+head and the one before; what that links is one component already, and then every pair that is still apart is compared.
+A pair whose first shingles share too few of each other is dropped by those alone; the exact similarity of the shingle sets
+decides on the rest, so no pair is lost. The order rests on a sample of texts: it sets how many pairs are compared, never
+which are found.
 
 Defined cases: null texts count as empty; texts without words have fingerprint zero and are linked like any other; rows
 with a null id take part, and a component's id is its smallest non-null id (null if it has none); repeated rows each
@@ -39,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import discard, materialise, release_memory, slices, text_of, texts_in, whole_rows
+from .support import discard, materialise, ranges_of, release_memory, slices, text_of, texts_in, whole_rows
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -291,30 +293,42 @@ def _all_shingles(shingle_words: int):
     return run
 
 
+PREFIX = "text_hash bigint, n int, prefix array<bigint>, small array<int>, rest int, last_count bigint, last_key bigint"
+
+
 def _prefixes(shingle_words: int, similarity: float, common: np.ndarray, counts: np.ndarray):
-    """Over rows (text_hash, text): (shingle, text_hash, n) for the first shingles of each text's n, in order of count and hash."""
+    """Over rows (text_hash, text): the first shingles of each text's n, in order of count and hash.
 
-    def first(shingles: np.ndarray) -> np.ndarray:
+    small: 32 bits of each; rest: how many shared shingles they don't show (the ones after them, or with equal 32 bits); last_count and
+    last_key: the last one's place in the order.
+    """
+
+    def first(shingles: np.ndarray) -> tuple[np.ndarray, int]:
         want = len(shingles) - int(np.ceil(similarity * len(shingles) - 1e-9)) + 1
         if not len(common):
-            return shingles[:want]
+            return shingles[:want], 0
         at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
         often = common[at] == shingles
         rare = shingles[~often]
         if len(rare) >= want:
-            return rare[:want]
-        rest = shingles[often]
-        return np.concatenate((rare, rest[np.argsort(counts[at[often]], kind="stable")][: want - len(rare)]))
+            return rare[:want], 0
+        rest, known = shingles[often], counts[at[often]]
+        order = np.argsort(known, kind="stable")[: want - len(rare)]
+        return np.concatenate((rare, rest[order])), int(known[order[-1]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1, 512):
-                sets = [shingle_set(t, shingle_words) for t in texts_in(part.column(1))]
-                firsts = [first(x) for x in sets]
-                sizes = [len(x) for x in firsts]
-                hashes = np.repeat(part.column(0).to_numpy(), sizes)
-                n = np.repeat(np.array([len(x) for x in sets], dtype=np.int32), sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts)), pa.array(hashes), pa.array(n)], names=["shingle", "text_hash", "n"])
+                rows: list[list] = [[] for _ in PREFIX.split(", ")[1:]]
+                for text in texts_in(part.column(1)):
+                    shingles = shingle_set(text, shingle_words)
+                    found, last = first(shingles)
+                    small = found.astype(np.uint64).astype(np.uint32).view(np.int32)
+                    for column, x in zip(rows, (len(shingles), found, small, len(shingles) - len(np.unique(small)), last, int(found[-1]) ^ -(1 << 63))):
+                        column.append(x)
+                offsets = ranges_of(np.array([len(x) for x in rows[1]])).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x))) for x in rows[1:3]]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows[0], pa.int32()), *lists, pa.array(rows[3], pa.int32()), *[pa.array(x, pa.int64()) for x in rows[4:]]], names=[x.split()[0] for x in PREFIX.split(", ")])
         release_memory()
 
     return run
@@ -345,40 +359,42 @@ def _buckets(columns: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[list
     return run
 
 
+def _room(similarity: float, n: np.ndarray, at: np.ndarray, i, j) -> np.ndarray:
+    """Whether members i and j, whose shingle of this bucket is in place ``at`` of n, can be similar with it as the first they share."""
+    return np.minimum(n[i] - at[i], n[j] - at[j]) >= similarity / (1 + similarity) * (n[i] + n[j]) - 1e-6
+
+
 def _neighbours(similarity: float):
-    """Over rows (shingle, text_hash, n) sorted by the first two: of each bucket each member with its head and the one before
-    (kind 0: a, b), and the members of buckets of three or more (kind 1: shingle, text_hash, n)."""
+    """Over rows (shingle, text_hash, n, at) sorted by the first two: of each bucket each member with its head and the one before
+    (kind 0: a, b), and the members of buckets of three or more (kind 1: shingle, text_hash, n, at)."""
 
-    def pack(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, dtype=np.int32)), pa.array(a), pa.array(b), pa.array(n)], names=["kind", "a", "b", "n"])
+    def pack(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, dtype=np.int32)), *map(pa.array, columns)], names=["kind", "a", "b", "n", "at"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shingle, text, n in _buckets(3)(batches):
-            once = np.ones(len(text), dtype=bool)
-            once[1:] = (shingle[1:] != shingle[:-1]) | (text[1:] != text[:-1])  # copies
-            shingle, text, n = shingle[once], text[once], n[once]
-            new = np.ones(len(text), dtype=bool)
-            new[1:] = shingle[1:] != shingle[:-1]
+        for shingle, text, n, place in _buckets(4)(batches):
+            new = np.append(True, shingle[1:] != shingle[:-1])
             starts = np.flatnonzero(new)
             sizes = np.diff(np.append(starts, len(text)))
             head = np.repeat(starts, sizes)
             at = np.flatnonzero(~new)
             other = np.concatenate((head[at], at - 1))
             at = np.concatenate((at, at))
-            fits = np.minimum(n[at], n[other]) >= similarity * np.maximum(n[at], n[other]) - 1e-6
+            fits = _room(similarity, n, place, at, other)
             pairs = np.unique(np.stack((np.maximum(text[at], text[other])[fits], np.minimum(text[at], text[other])[fits])), axis=1)
-            yield pack(0, pairs[0], pairs[1], np.zeros(pairs.shape[1], dtype=np.int32))
+            none = np.zeros(pairs.shape[1], dtype=np.int32)
+            yield pack(0, pairs[0], pairs[1], none, none)
             large = np.repeat(sizes > 2, sizes)
-            yield pack(1, shingle[large], text[large], n[large])
+            yield pack(1, shingle[large], text[large], n[large], place[large])
 
     return run
 
 
 def _apart(similarity: float):
-    """Over rows (shingle, root, text_hash, n) sorted by the first two: the pairs (a, b) of each bucket that no component holds yet."""
+    """Over rows (shingle, root, text_hash, n, at) sorted by the first two: the pairs (a, b) of each bucket that no component holds yet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shingle, root, text, n in _buckets(4)(batches):
+        for shingle, root, text, n, place in _buckets(5)(batches):
             starts = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1]))
             ends = np.append(starts[1:], len(shingle))
             mixed = root[starts] != root[ends - 1]
@@ -391,8 +407,7 @@ def _apart(similarity: float):
                     to = slice(int(after[i - start]), end)
                     if to.start == end:
                         break
-                    fits = np.minimum(n[to], n[i]) >= similarity * np.maximum(n[to], n[i]) - 1e-6
-                    others = text[to][fits]
+                    others = text[to][_room(similarity, n, place, to, i)]
                     if len(others):
                         found.append(np.stack((np.maximum(others, text[i]), np.minimum(others, text[i]))))
                         held += len(others)
@@ -421,17 +436,28 @@ def _shingle_sets(shingle_words: int):
     return run
 
 
-def _verified(pairs: DataFrame, keyed: DataFrame, rows: DataFrame, similarity: float, shingle_words: int) -> DataFrame:
-    """The pairs (a, b) of text hashes whose texts share at least so much of their shingles. Only the texts of pairs are joined."""
-    asked = pairs.select(F.col("a").alias("__text")).unionByName(pairs.select(F.col("b").alias("__text"))).distinct()
+def _likely(pairs: DataFrame, prefixes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose first shingles don't rule them out: what they share there, and all after the earlier end, reaches what it takes."""
+    names = ["n", "small", "rest", "last"]
+    known = prefixes.select("text_hash", "n", "small", "rest", F.struct("last_count", "last_key").alias("last"))
+    left, right = (known.select(F.col("text_hash").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in names]) for p in ("a", "b"))
+    most = F.size(F.array_intersect("a_small", "b_small")) + F.when(F.col("a_last") <= F.col("b_last"), F.col("a_rest")).otherwise(F.col("b_rest"))
+    return pairs.join(left, "a").join(right, "b").where(most >= F.lit(similarity / (1 + similarity)) * (F.col("a_n") + F.col("b_n")) - 1e-6).select("a", "b")
+
+
+def _verified(pairs: DataFrame, prefixes: DataFrame, keyed: DataFrame, rows: DataFrame, similarity: float, shingle_words: int) -> DataFrame:
+    """The pairs (a, b) of text hashes whose texts share at least so much of their shingles. Only the texts of likely pairs are joined."""
+    likely = materialise(_likely(pairs, prefixes, similarity), "likely")
+    asked = likely.select(F.col("a").alias("__text")).unionByName(likely.select(F.col("b").alias("__text"))).distinct()
     wanted = rows.join(asked, "__text")
     texts = keyed.join(wanted.hint("shuffle_hash"), ["__text", "__row"]).select("__text", "text").mapInArrow(_shingle_sets(shingle_words), "text_hash bigint, shingles array<bigint>")
     sets = materialise(texts.dropDuplicates(["text_hash"]), "shingles")
     left, right = (sets.select(F.col("text_hash").alias(p), F.col("shingles").alias(x)) for p, x in (("a", "x"), ("b", "y")))
     both = F.size(F.array_intersect("x", "y"))
     all_of = F.size("x") + F.size("y") - both
-    found = materialise(pairs.join(left, "a").join(right, "b").where(both >= F.lit(similarity) * all_of).select("a", "b"), "verified")
+    found = materialise(likely.join(left, "a").join(right, "b").where(both >= F.lit(similarity) * all_of).select("a", "b"), "verified")
     discard(sets)
+    discard(likely)
     return found
 
 
@@ -448,18 +474,19 @@ def similar(marked: DataFrame, keyed: DataFrame, similarity: float, shingle_word
     often = sample.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "shingle").limit(ORDER_SHINGLES).toArrow()
     common, counts = (often.column(i).to_numpy() for i in range(2))
     by_hash = np.argsort(common)
-    prefixes = texts.mapInArrow(_prefixes(shingle_words, similarity, common[by_hash], counts[by_hash]), "shingle bigint, text_hash bigint, n int")
-    met = materialise(prefixes.repartition("shingle").sortWithinPartitions("shingle", "text_hash").mapInArrow(_neighbours(similarity), "kind int, a bigint, b bigint, n int"), "met")
+    prefixes = materialise(texts.mapInArrow(_prefixes(shingle_words, similarity, common[by_hash], counts[by_hash]), PREFIX).dropDuplicates(["text_hash"]), "prefixes")
+    members = prefixes.select("text_hash", "n", F.posexplode("prefix").alias("at", "shingle")).select("shingle", "text_hash", "n", "at")
+    met = materialise(members.repartition("shingle").sortWithinPartitions("shingle", "text_hash").mapInArrow(_neighbours(similarity), "kind int, a bigint, b bigint, n int, at int"), "met")
     near = materialise(met.where("kind = 0").select("a", "b").distinct(), "pairs")
-    linked = _verified(near, keyed, rows, similarity, shingle_words)
+    linked = _verified(near, prefixes, keyed, rows, similarity, shingle_words)
     roots = components(linked)
-    members = met.where("kind = 1").select(F.col("a").alias("shingle"), F.col("b").alias("node"), "n").join(roots, "node", "left")
-    members = members.select("shingle", F.coalesce("root", "node").alias("root"), F.col("node").alias("text_hash"), "n")
+    members = met.where("kind = 1").select(F.col("a").alias("shingle"), F.col("b").alias("node"), "n", "at").join(roots, "node", "left")
+    members = members.select("shingle", F.coalesce("root", "node").alias("root"), F.col("node").alias("text_hash"), "n", "at")
     apart = members.repartition("shingle").sortWithinPartitions("shingle", "root").mapInArrow(_apart(similarity), "a bigint, b bigint")
     rest = materialise(apart.distinct().join(near, ["a", "b"], "left_anti"), "apart")
     discard(met)
-    more = _verified(rest, keyed, rows, similarity, shingle_words)
-    for table in (near, rest, rows):
+    more = _verified(rest, prefixes, keyed, rows, similarity, shingle_words)
+    for table in (near, rest, rows, prefixes):
         discard(table)
     return linked.unionByName(more)
 
