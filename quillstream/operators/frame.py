@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,8 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.core import BOOLEAN, REGISTRY, TIME64NS, CompileError, Function, Value, lift, zero
 from ..plans.timeparse import parse_duration
 
-
-PARTS = 32
+PART_ROWS = 50_000
 
 
 def _names(columns: str | Sequence[str], what: str) -> list[str]:
@@ -92,10 +92,11 @@ class Frame:
         v = lift(value)
         return self._with(self._df.withColumn(name, v.named(name)), self._types | {name: v.type})
 
-    def lookup(self, key: Value, table: DataFrame, name: str, kind: str, at: Value | None = None) -> Value:
+    def lookup(self, key: Value, table: DataFrame, name: str, kind: str, at: Value | None = None, field: str | None = None) -> Value:
         """A value from a table of unique keys (k, v), or of keys with disjoint times (k, v, start, stop); zero where there is none.
 
-        The joined column is hidden: the handle's plan carries it, but it isn't among its columns.
+        With a ``field``, v is a struct that has it: all fields of one key come with one join. The joined column is hidden:
+        the handle's plan carries it, but it isn't among its columns.
         """
         hidden = f"__{name}_{abs(hash((key.col._jc.toString(), at is not None and at.col._jc.toString()))) % 10**9}"
         if hidden not in self._df.columns:
@@ -103,9 +104,10 @@ class Frame:
             condition = key.col == F.col(f"{hidden}_k")
             if at is not None:
                 condition = condition & (F.col(f"{hidden}_start") <= at.col) & (at.col < F.col(f"{hidden}_stop"))
-            found = self._df.join(side, condition, "left").withColumn(hidden, F.coalesce(F.col(f"{hidden}_v"), zero(kind)))
+            value = F.col(f"{hidden}_v")
+            found = self._df.join(side, condition, "left").withColumn(hidden, value if field else F.coalesce(value, zero(kind)))
             object.__setattr__(self, "_df", found.drop(*side.columns))
-        return Value(F.col(hidden), kind, owner=self)
+        return Value(F.coalesce(F.col(hidden)[field], zero(kind)) if field else F.col(hidden), kind, owner=self)
 
     def keep(self, columns: list[str]) -> Frame:
         """These columns, in this order."""
@@ -227,13 +229,21 @@ class Frame:
 
     @staticmethod
     def _stepped(df: DataFrame, rows: DataFrame, by: list, name: str, part, merge) -> DataFrame:
-        """With an aggregate in two steps: of ``PARTS`` parts of each group, by a hash of the row, then of the parts' results."""
-        keys = [F.coalesce(F.to_json(F.struct(*by)), F.lit("")) if by else F.lit(""), F.pmod(F.xxhash64(*rows.columns), F.lit(PARTS))]
-        parts = rows.groupBy(keys[0].alias("__key"), keys[1].alias("__part")).agg(part.alias("__p"))
-        merged = parts.groupBy("__key").agg(merge(F.col("__p")).alias(name))
-        names = [c for c in df.columns if c != name]
-        keyed = df.withColumn("__key", F.coalesce(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns[: len(by)]])), F.lit("")) if by else F.lit(""))
-        return keyed.join(merged, "__key", "left").select(*[F.col(f"`{c}`") for c in names], F.col(f"`{name}`"))
+        """With an aggregate in two steps: of parts of each group, by a hash of the row, then of the parts' results.
+
+        A group has one part for about ``PART_ROWS`` of its rows, so no part grows with the group.
+        """
+        grouped = df.select("*", *[F.col(f"`{c}`").alias(f"__g{i}") for i, c in enumerate(df.columns[: len(by)])] or [F.lit(0).alias("__g0")])
+        by = by or [F.lit(0)]
+        keys = [F.col(f"__g{i}") for i in range(len(by))]
+        marked = rows.select(*[c.alias(f"__k{i}") for i, c in enumerate(by)], *[F.col(f"`{c}`") for c in rows.columns])
+        names = [F.col(f"__k{i}") for i in range(len(by))]
+        sizes = marked.groupBy(*names).agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).alias("__parts")).select(*[c.alias(f"__s{i}") for i, c in enumerate(names)], "__parts")
+        same = lambda left, right: reduce(lambda x, y: x & y, [a.eqNullSafe(b) for a, b in zip(left, right)])
+        sided = marked.join(sizes, same(names, [F.col(f"__s{i}") for i in range(len(by))]))
+        parts = sided.groupBy(*names, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.col("__parts")).alias("__part")).agg(part.alias("__p"))
+        merged = parts.groupBy(*names).agg(merge(F.col("__p")).alias("__merged"))
+        return grouped.join(merged, same(keys, names), "left").select(*[F.col(f"`{c}`") for c in df.columns if c != name], F.col("__merged").alias(name))
 
     # --- sets -----------------------------------------------------------------------------------------------------
 

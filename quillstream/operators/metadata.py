@@ -76,6 +76,7 @@ class Metadata:
             raise CompileError(f"unknown metadata tables: {sorted(unknown)}")
         self.tables = {name: self._shaped(given.get(name), T.StructType.fromDDL(schema)) for name, schema in SCHEMAS.items()}
         self._views: dict[str, DataFrame] = {}
+        self._records: dict[tuple[str, str], DataFrame] = {}
 
     def _shaped(self, df: DataFrame | None, schema: T.StructType) -> DataFrame:
         if df is None:
@@ -122,11 +123,13 @@ class Metadata:
         pods = self.view("pod").drop("start_time", "stop_time")
         return self.tables["process"].join(boxes, "container_id", "left").join(pods, "pod_id", "left")
 
-    def pairs(self, entity: str, key: str, column: str) -> DataFrame:
-        """(k, v): one value per key, of the entity that started last."""
-        view = self.view(entity)
-        order = F.coalesce(F.col("start_time"), F.lit(0)) if "start_time" in view.columns else F.lit(0)
-        return view.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max_by(F.col(column), order).alias("v"))
+    def records(self, entity: str, key: str) -> DataFrame:
+        """(k, v): one struct of all columns per key, of the entity that started last."""
+        if (entity, key) not in self._records:
+            view = self.view(entity)
+            order = F.coalesce(F.col("start_time"), F.lit(0)) if "start_time" in view.columns else F.lit(0)
+            self._records[entity, key] = view.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max_by(F.struct(*view.columns), order).alias("v"))
+        return self._records[entity, key]
 
     def addresses(self) -> DataFrame:
         """(k, v, start, stop): pods by address, each time span cut at the next one's start."""
@@ -191,8 +194,8 @@ def _fill() -> None:
                     continue
                 name = f"{key}_to_{prop}"
 
-                def build(frame, md, chosen, value, entity=entity, key_column=key_column, column=column, name=name):
-                    return frame.lookup(value, md.pairs(entity, key_column, column), name, chosen.returns)
+                def build(frame, md, chosen, value, entity=entity, key_column=key_column, column=column):
+                    return frame.lookup(value, md.records(entity, key_column), f"{entity}_by_{key_column}", chosen.returns, field=column)
 
                 _lookup(name, [((UINT128 if key == "upid" else STRING,), kind)], build)
 
@@ -203,7 +206,7 @@ def _fill() -> None:
         return frame.lookup(ip, table, "ip_to_pod_id", STRING, at)
 
     _lookup("ip_to_pod_id", [((STRING,), STRING), ((STRING, TIME64NS), STRING)], by_address)
-    _lookup("ip_to_service_id", [((STRING,), STRING)], lambda frame, md, chosen, ip: frame.lookup(ip, md.pairs("service", "cluster_ip", "service_id"), "ip_to_service_id", STRING))
+    _lookup("ip_to_service_id", [((STRING,), STRING)], lambda frame, md, chosen, ip: frame.lookup(ip, md.records("service", "cluster_ip"), "service_by_cluster_ip", STRING, field="service_id"))
 
     def fallback(frame, md, chosen, process, ip, at):
         by_process = REGISTRY["upid_to_pod_name"](process)

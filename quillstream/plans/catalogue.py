@@ -8,7 +8,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.core import REGISTRY, Value, call
@@ -20,6 +20,7 @@ from ..sources.engine import Engine
 from ..streaming import queries as streams
 from .script import equals_any
 
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 TIME_COLUMNS = {"events": "ts", "orders": "o_orderdate", "lineitem": "l_shipdate"}
 DAY = 86_400_000_000_000
 NOW = 1_735_689_600_000_000_000
@@ -30,7 +31,7 @@ NS = "(epoch_us({}) * 1000)"
 
 def engine(spark: SparkSession, sf_dir: str) -> Engine:
     e = Engine(spark, now=NOW)
-    for name in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
+    for name in TABLES:
         e.register(name, f"{sf_dir}/{name}.parquet", TIME_COLUMNS.get(name))
     return e
 
@@ -99,12 +100,17 @@ q.display(by_type('events'), 'out')
 """)["out"]
 
 
-@query()
+LISTED = "table_name IN (" + ", ".join(f"'{n}'" for n in TABLES) + ")"
+
+
+@query(f"""SELECT table_name, CASE WHEN (table_name, column_name) IN (('events', 'ts'), ('orders', 'o_orderdate'), ('lineitem', 'l_shipdate')) THEN 'time_' ELSE column_name END AS column_name,
+CASE WHEN data_type LIKE 'TIMESTAMP%' OR data_type = 'DATE' THEN 'TIME64NS' WHEN data_type IN ('DOUBLE', 'FLOAT') THEN 'FLOAT64' WHEN data_type = 'BOOLEAN' THEN 'BOOLEAN' WHEN data_type LIKE '%[]' OR data_type IN ('VARCHAR', 'BLOB') THEN 'STRING' ELSE 'INT64' END AS column_type,
+'GENERAL' AS pattern_type, '' AS column_desc FROM information_schema.columns WHERE {LISTED}""")
 def udtf_schemas(e):
     return udtf.get_schemas(e)
 
 
-@query()
+@query(f"SELECT table_name, '' AS table_desc FROM information_schema.tables WHERE {LISTED}")
 def udtf_tables(e):
     return udtf.get_tables(e)
 
@@ -119,6 +125,18 @@ def uda_list(e):
     return udtf.get_uda_list(e)
 
 
+OTEL_SQL = f"""SELECT 'metrics' AS kind, '{{"attributes":[{{"key":"service.name","value":{{"stringValue":"' || event_type || '"}}}}]}}' AS resource, event_type, {NS.format('ts')}::VARCHAR AS time_unix_nano, round(value, 9) AS value FROM events"""
+
+
+@query(OTEL_SQL)
+def otel_gauge(e):
+    """The parts of the gauge records, read back from their JSON."""
+    found = otel_metrics(e)
+    part = lambda path: F.get_json_object("record", path)
+    at = "$.gauge.dataPoints[0]"
+    return found.select("kind", "resource", part(f"{at}.attributes[0].value.stringValue").alias("event_type"), part(f"{at}.timeUnixNano").alias("time_unix_nano"), F.round(part(f"{at}.asDouble").cast("double"), 9).alias("value"))
+
+
 @query()
 def otel_metrics(e):
     df = e.table("events", ["time_", "event_type", "value"])
@@ -278,7 +296,7 @@ def agg_bool(e):
     return out
 
 
-@query()
+@query("SELECT l_returnflag, quantile_disc(l_extendedprice, 0.01) AS p01, quantile_disc(l_extendedprice, 0.5) AS p50, quantile_disc(l_extendedprice, 0.99) AS p99 FROM lineitem GROUP BY ALL")
 def agg_quantiles_pluck(e):
     out = e.table("lineitem", ["l_returnflag", "l_extendedprice"]).groupby("l_returnflag").agg(q=("l_extendedprice", agg("quantiles")))
     for p in ("p01", "p50", "p99"):
@@ -509,6 +527,14 @@ def fn_pii(e):
     return df.drop("text")
 
 
+@query("""SELECT c_custkey, 'n ' || c_custkey || ': <REDACTED_EMAIL> at <REDACTED_IPV4> or <REDACTED_IPV6>, <REDACTED_MAC_ADDR>; <REDACTED_CC_NUMBER>, <REDACTED_SSN>, <REDACTED_IBAN>.' AS clean FROM customer""")
+def fn_pii_made(e):
+    df = e.table("customer", ["c_custkey"])
+    key = call("itoa", df["c_custkey"])
+    df["clean"] = call("redact_pii_best_effort", call("add", "n ", key) + ": u" + key + "@mail.example.org at 10.1.2.3 or 2001:db8:0:0:0:0:2:1, 00:1b:44:11:3a:b7; 4111 1111 1111 1111, 123-45-6789, DE89 3704 0044 0532 0130 00.")
+    return df
+
+
 @query("SELECT o_orderkey, '{\"query\":\"SELECT * FROM t WHERE k=$1 AND p=$2\",\"params\":[\"' || o_orderkey || '\",\"''' || o_orderpriority || '''\"],\"error\":\"\"}' AS n FROM orders")
 def fn_normalize_sql(e):
     df = e.table("orders", ["o_orderkey", "o_orderpriority"])
@@ -561,6 +587,101 @@ def md_upid(e):
     return df.drop("u")
 
 
+POD_STATUS = """'{"phase":"Running","message":"","reason":"","ready":' || (n % 2 = 0)::VARCHAR || '}'"""
+OWNED = """'[{"uid":"rs' || n || '","kind":"ReplicaSet","name":"rs/' || n_name || '"}]'"""
+DEPLOYED = """'[{"uid":"d' || r || '","kind":"Deployment","name":"dep/' || r || '"}]'"""
+SET = {"replicaset_id": "'rs' || n", "replicaset_name": "'rs/' || n_name", "deployment_id": "'d' || r", "deployment_name": "'dep/' || r"}
+SERVED = {"service_id": "'s' || r", "service_name": "'svc/' || r"}
+POD_SQL = SET | SERVED | {"pod_id": "'p' || n", "pod_name": "'ns/' || n_name", "namespace": "'ns'", "node_name": "'node' || r", "owner_references": OWNED, "start_time": "n + 1", "stop_time": "n + 1000", "status": POD_STATUS, "pod_ip": "'10.0.0.' || n", "pod_labels": """'{"app":"a' || n || '"}'"""}
+#: Of each entity: its keys, and what its lookups give, as SQL over n (nation), r (its region) and n_name.
+EXPECTED = {
+    "pod": (("pod_id", "pod_name"), POD_SQL),
+    "container": (("container_id", "container_name"), {"container_id": "'c' || n", "container_name": "'box' || n", "status": """'{"state":"Running","message":"m' || n || '","reason":""}'""", "start_time": "n + 5", "stop_time": "n + 50"}),
+    "service": (("service_id", "service_name"), SERVED | {"namespace": "'ns'", "cluster_ip": "'10.1.0.' || r", "external_ips": """'["1.2.3.' || r || '"]'"""}),
+    "replicaset": (("replicaset_id", "replicaset_name"), SET | {"namespace": "'ns'", "owner_references": DEPLOYED, "status": "'ok' || n", "start_time": "n + 100", "stop_time": "n + 200"}),
+    "deployment": (("deployment_id", "deployment_name"), {"deployment_id": "'d' || r", "deployment_name": "'dep/' || r", "namespace": "'ns'", "status": "'up' || r", "start_time": "r + 10", "stop_time": "r + 20"}),
+    "process": (("upid",), {k: v for k, v in POD_SQL.items() if k in {"namespace", "node_name", "pod_id", "pod_name", *SET, *SERVED}} | {"pod_qos": "'Burstable'", "pod_status": POD_STATUS, "hostname": "'host' || n", "container_id": "'c' || n", "container_name": "'box' || n", "cmdline": "'run ' || n"}),
+}
+NATIONS = "(SELECT n_nationkey AS n, n_regionkey AS r, n_name FROM nation)"
+
+
+def with_all_metadata(e: Engine) -> Engine:
+    """A pod, container, replica set and process for each nation, a service and deployment for each region."""
+    rows = e.tables["nation"].select(F.col("n_nationkey").cast("string").alias("n"), F.col("n_regionkey").cast("string").alias("r"), "n_name", F.col("n_nationkey").cast("long").alias("i"), F.col("n_regionkey").cast("long").alias("j"))
+    text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    n, r, name = F.col("n"), F.col("r"), F.col("n_name")
+    pods = rows.select(
+        text("p", n).alias("pod_id"), text("ns/", name).alias("name"), F.lit("ns").alias("namespace"), text("node", r).alias("node_name"), text("host", n).alias("hostname"), text("10.0.0.", n).alias("pod_ip"), F.lit("Burstable").alias("qos"), F.lit("Running").alias("phase"),
+        (F.col("i") % 2 == 0).alias("ready"), text('{"app":"a', n, '"}').alias("labels"), text('[{"uid":"rs', n, '","kind":"ReplicaSet","name":"rs/', name, '"}]').alias("owner_references"), (F.col("i") + 1).alias("start_time"), (F.col("i") + 1000).alias("stop_time"),
+    )
+    sets = rows.select(text("rs", n).alias("replicaset_id"), text("rs/", name).alias("name"), F.lit("ns").alias("namespace"), text("d", r).alias("deployment_id"), text("ok", n).alias("status"), text('[{"uid":"d', r, '","kind":"Deployment","name":"dep/', r, '"}]').alias("owner_references"), (F.col("i") + 100).alias("start_time"), (F.col("i") + 200).alias("stop_time"))
+    deployments = rows.select("r", "j").distinct().select(text("d", r).alias("deployment_id"), text("dep/", r).alias("name"), F.lit("ns").alias("namespace"), text("up", r).alias("status"), (F.col("j") + 10).alias("start_time"), (F.col("j") + 20).alias("stop_time"))
+    services = rows.groupBy("r").agg(F.collect_list(text("p", n)).alias("pod_ids")).select(text("s", r).alias("service_id"), text("svc/", r).alias("name"), F.lit("ns").alias("namespace"), text("10.1.0.", r).alias("cluster_ip"), text('["1.2.3.', r, '"]').alias("external_ips"), "pod_ids")
+    boxes = rows.select(text("c", n).alias("container_id"), text("box", n).alias("name"), text("p", n).alias("pod_id"), F.lit("Running").alias("state"), text("m", n).alias("message"), (F.col("i") + 5).alias("start_time"), (F.col("i") + 50).alias("stop_time"))
+    processes = rows.select(F.struct(((F.lit(7).cast("long") * (1 << 32)) + F.col("i")).alias("high"), F.lit(100).cast("long").alias("low")).alias("upid"), text("run ", n).alias("cmdline"), text("c", n).alias("container_id"))
+    spaces = e.spark.createDataFrame([("n0", "ns")], "namespace_id string, name string")
+    addresses = pods.select(F.col("pod_ip").alias("ip"), "pod_id", F.lit(0).cast("long").alias("start_time"), F.lit(0).cast("long").alias("stop_time"))
+    e.metadata = Metadata(e.spark, {"pod": pods, "replicaset": sets, "deployment": deployments, "service": services, "container": boxes, "process": processes, "namespace": spaces, "pod_ip": addresses}, asid=7, cluster={"id": "k1", "name": "main", "namespace": "ops"}, cidrs=["10.0.0.0/8"])
+    return e
+
+
+def keyed_nations(e: Engine) -> Frame:
+    """The nations with a column for every key of ``EXPECTED``."""
+    df = with_all_metadata(e).table("nation", ["n_nationkey", "n_regionkey", "n_name"])
+    n, r = call("itoa", df["n_nationkey"]), call("itoa", df["n_regionkey"])
+    for column, prefix, part in (("pod_id", "p", n), ("container_id", "c", n), ("container_name", "box", n), ("service_id", "s", r), ("service_name", "svc/", r), ("replicaset_id", "rs", n), ("deployment_id", "d", r), ("deployment_name", "dep/", r)):
+        df[column] = call("add", prefix, part)
+    df["pod_name"], df["replicaset_name"] = call("add", "ns/", df["n_name"]), call("add", "rs/", df["n_name"])
+    df["upid"] = call("upid", 7, df["n_nationkey"], 100)
+    return df
+
+
+def _entity_query(entity: str, key: str, properties: dict[str, str]) -> None:
+    names = {f"{key}_to_{p}": sql for p, sql in properties.items() if f"{key}_to_{p}" in REGISTRY}
+
+    def build(e):
+        df = keyed_nations(e)
+        for name in names:
+            df[name] = REGISTRY[name](df[key])
+        return df[["n_nationkey", *names]]
+
+    build.__name__ = f"md_{key}_to_all"
+    query(f"SELECT n AS n_nationkey, {', '.join(f'{sql} AS {name}' for name, sql in names.items())} FROM {NATIONS}")(build)
+
+
+for _entity, (_keys, _properties) in EXPECTED.items():
+    for _key in _keys:
+        _entity_query(_entity, _key, _properties)
+
+
+@query(f"""SELECT n AS n_nationkey, 'p' || n AS pod_id, 's' || r AS service_id, 'n0' AS namespace_id, r = 1 AS has_id, r = 2 AS has_name, n = 3 AS has_it, 7::BIGINT AS asid, 'k1' AS cluster_id, 'main' AS cluster_name, 'ops' AS cluster_namespace, '["10.0.0.0/8"]' AS cidrs, 100::BIGINT AS start_ts, 'ns/' || n_name AS by_ip
+FROM {NATIONS}""")
+def md_others(e):
+    df = keyed_nations(e)
+    df["ip"], df["cluster_ip"], df["ns"] = call("add", "10.0.0.", call("itoa", df["n_nationkey"])), call("add", "10.1.0.", call("itoa", df["n_regionkey"])), call("substring", df["pod_name"], 0, 2)
+    df["found"], df["served"], df["space"] = REGISTRY["ip_to_pod_id"](df["ip"]), REGISTRY["ip_to_service_id"](df["cluster_ip"]), REGISTRY["namespace_name_to_namespace_id"](df["ns"])
+    df["has_id"], df["has_name"], df["has_it"] = call("has_service_id", '["s1","s9"]', df["service_id"]), call("has_service_name", "svc/2", df["service_name"]), call("has_value", '["p3"]', df["pod_id"])
+    for column, name in (("asid", "asid"), ("cluster_id", "cluster_id"), ("cluster_name", "cluster_name"), ("cluster_namespace", "cluster_namespace"), ("cidrs", "get_cidrs")):
+        found = REGISTRY[name].build(df, e.metadata, REGISTRY[name].overloads[0])
+        df[column] = found
+    df["start_ts"] = call("upid_to_start_ts", df["upid"])
+    nobody = call("upid", 9, df["n_nationkey"], 100)
+    df["time_"] = call("int64_to_time", df["n_nationkey"] + 5)
+    df["nobody"] = nobody
+    df["by_ip"] = REGISTRY["_upid_to_podname_local_addr_fallback"](df["nobody"], df["ip"], df["time_"])
+    out = df[["n_nationkey", "found", "served", "space", "has_id", "has_name", "has_it", "asid", "cluster_id", "cluster_name", "cluster_namespace", "cidrs", "start_ts", "by_ip"]]
+    return out.spark().withColumnsRenamed({"found": "pod_id", "served": "service_id", "space": "namespace_id"})
+
+
+@query(f"SELECT n AS n_nationkey, 'p' || n AS pod_id, 'ns/' || n_name AS pod, 'svc/' || r AS service, 's' || r AS service_id, 'ns' AS namespace, 'rs/' || n_name AS replicaset, 'd' || r AS deployment_id, 'dep/' || r AS deployment, 'node' || r AS node, 'host' || n AS hostname, 'c' || n AS container_id, 'box' || n AS container, 'run ' || n AS cmdline, 7::BIGINT AS asid, n::BIGINT AS pid FROM {NATIONS}")
+def md_ctx_all(e):
+    names = ["pod_id", "pod", "service", "service_id", "namespace", "replicaset", "deployment_id", "deployment", "node", "hostname", "container_id", "container", "cmdline", "asid", "pid"]
+    out = keyed_nations(e)[["n_nationkey", "upid"]]
+    for name in names:
+        out[f"x_{name}"] = out.ctx[name]
+    return out.spark().select("n_nationkey", *[F.col(f"x_{name}").alias(name) for name in names])
+
+
 # --- streams ----------------------------------------------------------------------------------------------------------
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable, MutableMapping
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,33 @@ from ..plans.timeparse import parse_time
 TIME = "time_"
 
 
+class Tables(MutableMapping):
+    """Tables by name. A stored one is opened, and its schema read, when it is first used."""
+
+    def __init__(self):
+        self._held: dict[str, DataFrame | Callable[[], DataFrame]] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if callable(self._held[name]):
+            self._held[name] = self._held[name]()
+        return self._held[name]
+
+    def __setitem__(self, name: str, table: DataFrame | Callable[[], DataFrame]) -> None:
+        self._held[name] = table
+
+    def __contains__(self, name: object) -> bool:
+        return name in self._held
+
+    def __delitem__(self, name: str) -> None:
+        del self._held[name]
+
+    def __iter__(self):
+        return iter(self._held)
+
+    def __len__(self) -> int:
+        return len(self._held)
+
+
 class Engine:
     """Runs queries over named tables.
 
@@ -27,7 +55,7 @@ class Engine:
         self.spark, self.null_fill, self.max_rows = spark, null_fill, max_rows
         self.now = time.time_ns() if now is None else now
         self.restricted = restricted or {}
-        self.tables: dict[str, DataFrame] = {}
+        self.tables = Tables()
         self.paths: dict[str, str] = {}
         self.descriptions: dict[str, str] = {}
         self.outputs: dict[str, Frame] = {}
@@ -41,10 +69,12 @@ class Engine:
         """Names a table: a DataFrame, or a Parquet path. ``time_column`` becomes time_."""
         if isinstance(source, str):
             self.paths[name] = source
-            source = self.spark.read.parquet(source)
-        if time_column and time_column != TIME:
-            source = source.withColumnRenamed(time_column, TIME)
-        self.tables[name] = source
+
+        def opened() -> DataFrame:
+            df = self.spark.read.parquet(source) if isinstance(source, str) else source
+            return df.withColumnRenamed(time_column, TIME) if time_column and time_column != TIME else df
+
+        self.tables[name] = opened
         self.descriptions[name] = description
 
     def register_folder(self, folder: str, time_columns: dict[str, str] | None = None) -> None:
