@@ -52,7 +52,7 @@ def normalised(name: str, field_: T.StructField) -> Column:
         return (F.unix_micros(col) * 1000).alias(name, metadata={"type": TIME64NS})
     if field_.dataType == SPARK_TYPES[kind]:
         return col
-    return (F.to_json(col) if isinstance(field_.dataType, (T.ArrayType, T.MapType, T.StructType)) else col.cast(SPARK_TYPES[kind])).alias(name)
+    return (F.to_json(col) if kind == STRING and isinstance(field_.dataType, (T.ArrayType, T.MapType, T.StructType)) else col.cast(SPARK_TYPES[kind])).alias(name)
 
 
 @dataclass(frozen=True, eq=False)

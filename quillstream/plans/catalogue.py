@@ -18,6 +18,7 @@ from ..session import shared_dir
 from ..sources import otel, udtf
 from ..sources.engine import Engine
 from ..streaming import queries as streams
+from . import views
 from .script import equals_any
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -682,6 +683,108 @@ def md_ctx_all(e):
     return out.spark().select("n_nationkey", *[F.col(f"x_{name}").alias(name) for name in names])
 
 
+# --- library views -----------------------------------------------------------------------------------------------------
+
+FROM, TO, WEEK = "2024-01-03 00:00:00", "2024-01-24 00:00:00", 7 * DAY
+SPAN = f"{21 * DAY}::DOUBLE"
+#: Events with the nation n that stands behind each, between the two times.
+TELEMETRY = f"""(SELECT event_id AS i, {NS.format('ts')} AS t, user_id % 25 AS n, user_id % 7 AS k, r, n_name FROM events JOIN {NATIONS} ON n = user_id % 25 WHERE ts >= TIMESTAMP '{FROM}' AND ts <= TIMESTAMP '{TO}')"""
+PLACE_SQL = "'ns/' || n_name AS pod, 'svc/' || r AS service, 'ns' AS namespace, 'node' || r AS node"
+USE = {"actual_disk_read_throughput": 3, "actual_disk_write_throughput": 4, "total_disk_read_throughput": 5, "total_disk_write_throughput": 6}
+#: Windows start at whole multiples of a week since the epoch.
+WINDOW = f"t - t % {WEEK}"
+
+
+def with_telemetry(e: Engine) -> Engine:
+    """Events as telemetry of the nations' pods: counters grow with the event's number."""
+    with_all_metadata(e)
+    rows = e.tables["events"].select("event_id", "time_", (F.col("user_id") % 25).alias("n"), (F.col("user_id") % 7).alias("k"))
+    upid = F.struct(((F.lit(7).cast("long") * (1 << 32)) + F.col("n")).alias("high"), F.lit(100).cast("long").alias("low")).alias("upid")
+    i = F.col("event_id").cast("long")
+    counters = ["cpu_ktime_ns", "cpu_utime_ns", "read_bytes", "write_bytes", "rchar_bytes", "wchar_bytes"]
+    e.register("process_stats", rows.select("time_", upid, (i % 100).alias("rss_bytes"), (i % 1000).alias("vsize_bytes"), *[(i * (x + 1)).alias(c) for x, c in enumerate(counters)]))
+    e.register("network_stats", rows.select("time_", F.concat(F.lit("p"), F.col("n").cast("string")).alias("pod_id"), *[(i * (x + 1)).alias(c) for x, c in enumerate(views.NETWORK)]))
+    path = F.when(F.col("k") == 0, "/healthz").when(F.col("k") == 1, "/readyz").otherwise("/a")
+    address = F.when(F.col("k") == 2, "-").when(F.col("k") == 3, "127.0.0.1").otherwise(F.concat(F.lit("10.0.0."), ((F.col("n") + 1) % 25).cast("string")))
+    e.register("http_events", rows.select("time_", upid, address.alias("remote_addr"), path.alias("req_path"), F.when(i % 3 == 0, 500).otherwise(200).cast("long").alias("resp_status"), (i % 50).alias("latency"), (i % 11).alias("req_body_size"), (i % 13).alias("resp_body_size"), F.when(F.col("k") == 6, 1).otherwise(2).cast("long").alias("trace_role")))
+    return e
+
+
+def _rounded(frame: Frame, columns, places: int = 9) -> Frame:
+    for c in columns:
+        frame[c] = rounded(frame[c], places)
+    return frame
+
+
+def _use_sql(group: str, span: str) -> str:
+    return f"round(3 * (max(i) - min(i)) / {span}, 15) AS cpu_usage, " + ", ".join(f"round({x} * (max(i) - min(i)) / {span}, 15) AS {c}" for c, x in USE.items()) + ", round(avg(i % 100), 9) AS rss, round(avg(i % 1000), 9) AS vsize"
+
+
+def _use(frame: Frame) -> Frame:
+    return _rounded(_rounded(frame, ["cpu_usage", *USE], 15), ["rss", "vsize"])
+
+
+@query(f"SELECT max(t) AS time_, 'p' || n AS pod_id, 'box' || n AS container, {PLACE_SQL}, {_use_sql('n', SPAN)} FROM {TELEMETRY} GROUP BY n, r, n_name")
+def view_process_summary(e):
+    return _use(views.container_process_summary(with_telemetry(e), FROM, TO))
+
+
+@query(f"SELECT {WINDOW} AS time_, 'p' || n AS pod_id, 'box' || n AS container, {PLACE_SQL}, {_use_sql('n', f'{WEEK}::DOUBLE')} FROM {TELEMETRY} GROUP BY {WINDOW}, n, r, n_name")
+def view_process_timeseries(e):
+    return _use(views.container_process_timeseries(with_telemetry(e), FROM, TO, WEEK))
+
+
+@query(f"SELECT max(t) AS time_, 'p' || n AS pod_id, {PLACE_SQL}, 1::BIGINT AS container_count, n + 1 AS pod_start_time, {POD_STATUS} AS pod_status, {_use_sql('n', SPAN)} FROM {TELEMETRY} GROUP BY n, r, n_name")
+def view_pod_resources(e):
+    return _use(views.pod_resource_stats(with_telemetry(e), FROM, TO))
+
+
+def _net_sql(span: str) -> str:
+    return ", ".join(f"round({x + 1} * (max(i) - min(i)) / {span}, 15) AS {c}_per_ns" for x, c in enumerate(views.NETWORK))
+
+
+@query(f"SELECT max(t) AS time_, 'p' || n AS pod_id, {PLACE_SQL}, {_net_sql(SPAN)} FROM {TELEMETRY} GROUP BY n, r, n_name")
+def view_network_summary(e):
+    return _rounded(views.pod_network_summary(with_telemetry(e), FROM, TO), [f"{c}_per_ns" for c in views.NETWORK], 15)
+
+
+@query(f"SELECT {WINDOW} AS time_, 'p' || n AS pod_id, {PLACE_SQL}, {_net_sql(f'{WEEK}::DOUBLE')} FROM {TELEMETRY} GROUP BY {WINDOW}, n, r, n_name")
+def view_network_timeseries(e):
+    return _rounded(views.pod_network_timeseries(with_telemetry(e), FROM, TO, WEEK), [f"{c}_per_ns" for c in views.NETWORK], 15)
+
+
+HTTP_SQL = "sum(i % 50)::BIGINT AS latency_sum, count(*) AS num_requests, sum((i % 3 = 0)::INT)::BIGINT AS num_errors, sum(i % 11)::BIGINT AS req_bytes, sum(i % 13)::BIGINT AS resp_bytes"
+
+
+@query(f"""SELECT max(t) AS time_, 'p' || n AS pod_id, {PLACE_SQL}, CASE WHEN k = 3 THEN '127.0.0.1' ELSE '10.0.0.' || ((n + 1) % 25) END AS requestor_ip, CASE WHEN k = 3 THEN '' ELSE 'ns/' || (SELECT any_value(x.n_name) FROM nation x WHERE x.n_nationkey = (n + 1) % 25) END AS requestor_pod,
+CASE WHEN k = 3 THEN '' ELSE 'svc/' || (SELECT any_value(x.n_regionkey) FROM nation x WHERE x.n_nationkey = (n + 1) % 25) END AS requestor_service, {HTTP_SQL}, quantile_disc(i % 50, 0.5)::DOUBLE AS p50 FROM (SELECT *, CASE WHEN k = 3 THEN 3 ELSE 4 END AS kind FROM {TELEMETRY}) u(i, t, n, k0, r, n_name, k) WHERE k0 IN (3, 4, 5) GROUP BY n, r, n_name, k""")
+def view_http_summary(e):
+    df = views.inbound_http_summary(with_telemetry(e), FROM, TO)
+    df["p50"] = call("pluck_float64", df["latency_quantiles"], "p50")
+    return df.drop("latency_quantiles")
+
+
+@query(f"""SELECT max(t) AS time_, a.n_name AS responder_pod, b.n_name AS requestor_pod, count(*) AS num_requests, sum((i % 3 = 0)::INT)::BIGINT AS num_errors FROM
+(SELECT i, t, CASE WHEN k = 6 THEN (n + 1) % 25 ELSE n END AS x, CASE k WHEN 3 THEN n WHEN 6 THEN n ELSE (n + 1) % 25 END AS y, k = 3 AS home, k = 6 AS asked FROM {TELEMETRY} WHERE k > 2) JOIN nation a ON a.n_nationkey = x JOIN nation b ON b.n_nationkey = y GROUP BY a.n_name, b.n_name""")
+def view_http_graph(e):
+    df = views.http_graph(with_telemetry(e), FROM, TO)
+    out = df.groupby(["responder_pod", "requestor_pod"]).agg(time_=("time_", agg("max")), num_requests=("num_requests", agg("sum")), num_errors=("num_errors", agg("sum")))
+    out["responder_pod"], out["requestor_pod"] = call("strip_prefix", "ns/", out["responder_pod"]), call("strip_prefix", "ns/", out["requestor_pod"])
+    return out
+
+
+@query(f"SELECT {WINDOW} AS time_, 'p' || n AS pod_id, {PLACE_SQL}, 'box' || n AS container, count(*) AS num_requests, sum((i % 3 = 0)::INT)::BIGINT AS num_errors FROM {TELEMETRY} WHERE k IN (3, 4, 5) GROUP BY {WINDOW}, n, r, n_name")
+def view_http_throughput(e):
+    return views.inbound_http_throughput_timeseries(with_telemetry(e), FROM, TO, WEEK)
+
+
+@query(f"SELECT {WINDOW} AS time_, 'p' || n AS pod_id, {PLACE_SQL}, {HTTP_SQL}, quantile_disc(i % 50, 0.9)::DOUBLE AS p90 FROM {TELEMETRY} WHERE k IN (3, 4, 5) GROUP BY {WINDOW}, n, r, n_name")
+def view_http_latency(e):
+    df = views.inbound_http_latency_timeseries(with_telemetry(e), FROM, TO, WEEK)
+    df["p90"] = call("pluck_float64", df["latency_quantiles"], "p90")
+    return df.drop("latency_quantiles")
+
+
 # --- streams ----------------------------------------------------------------------------------------------------------
 
 
