@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .core import BOOLEAN, FLOAT64, INT64, STRING, TIME64NS, TYPES, Value, define
 from .ml import kmeans_merge, kmeans_part
-from .paths import build_clusters
+from .paths import build_clusters, merge_clusters
 from .pprof import count_part, merge_parts
 
 ALL = [((t,), t) for t in TYPES]
@@ -105,13 +105,20 @@ def pprof(stack: Value, n: Value, period: Value) -> Column:
     return build(stack.col, n.col, period.col)
 
 
-@define("_build_request_path_clusters", ((STRING,), STRING), aggregate=True)
+def _merge_paths(parts: Column) -> Column:
+    @F.pandas_udf("string")
+    def merge(models: pd.Series) -> str:
+        return merge_clusters(sorted(models))
+
+    return merge(parts)
+
+
+@define("_build_request_path_clusters", ((STRING,), STRING), aggregate=True, merge=_merge_paths)
 def path_clusters(v: Value) -> Column:
-    """Clusters of request paths as JSON. Distinct paths are enough, and sorting them makes the result one and the same."""
+    """Clusters of request paths as JSON, from those of parts of the group. Distinct paths are enough, and sorting them makes the result one and the same."""
 
     @F.pandas_udf("string")
-    def finish(parts: pd.Series) -> pd.Series:
-        return parts.map(lambda p: build_clusters(sorted(p)))
-
-    return finish(F.collect_set(v.col))
+    def part(paths: pd.Series) -> str:
+        return build_clusters(sorted(set(paths.dropna())))
 
+    return part(v.col)

@@ -62,6 +62,27 @@ def build_clusters(paths: list[str]) -> str:
     return json.dumps([{"c": text(c), "m": sorted(map(text, m))} for c, m in clusters])
 
 
+def merge_clusters(models: list[str]) -> str:
+    """The clusters of a group from those of its parts: equal or mostly agreeing templates become one, and share their members."""
+    if len(models) == 1:
+        return models[0]
+    merged: dict[int, list[list]] = {}
+    found = [(segments(x["c"]), {segments(m) for m in x["m"]}) for model in models for x in json.loads(model)]
+    for centre, members in sorted(found, key=lambda c: (c[0], sorted(c[1]))):
+        mine = merged.setdefault(len(centre), [])
+        same = next((c for c in mine if c[0] == centre), None)
+        at, best = nearest(mine, centre) if same is None else (0, 0.0)
+        if same is None and (at < 0 or best < LEAST_ALIKE):
+            mine.append([centre, members])
+            continue
+        cluster = same or mine[at]
+        cluster[0] = tuple(a if a == b else WILD for a, b in zip(cluster[0], centre))
+        cluster[1] = cluster[1] | members if cluster[1] and members else set()
+        if len(cluster[1]) > MEMBERS_KEPT:
+            cluster[1] = set()
+    return json.dumps([{"c": text(c), "m": sorted(map(text, m))} for clusters in merged.values() for c, m in clusters])
+
+
 @functools.lru_cache(maxsize=64)
 def _parsed(model: str) -> list[tuple[tuple[str, ...], frozenset[str]]]:
     return [(segments(x["c"]), frozenset(x["m"])) for x in json.loads(model)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -18,9 +20,10 @@ def shared_dir(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    base = f"file://{tempfile.mkdtemp(prefix='quillstream-')}"
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    folder = tempfile.mkdtemp(prefix="quillstream-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", f"file://{folder}")
+    return f"file://{folder}"
 
 
 def ship(spark: SparkSession) -> None:
@@ -32,7 +35,9 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _shipped:
         return
     here = Path(__file__).resolve().parent
-    path = Path(tempfile.mkdtemp(prefix="quillstream-")) / "quillstream.zip"
+    folder = tempfile.mkdtemp(prefix="quillstream-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = Path(folder) / "quillstream.zip"
     with zipfile.ZipFile(path, "w") as archive:
         for source in sorted(here.rglob("*.py")):
             archive.write(source, source.relative_to(here.parent))

@@ -59,6 +59,7 @@ class Engine:
         self.paths: dict[str, str] = {}
         self.descriptions: dict[str, str] = {}
         self.outputs: dict[str, Frame] = {}
+        self.plans: dict[str, str] = {}
         self.exports: list[tuple[Frame, object]] = []
         self.metadata = None
         self.history: list[tuple] = []

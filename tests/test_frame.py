@@ -215,3 +215,25 @@ def test_windows_and_sessions(spark):
     df = spark.createDataFrame([(0, "a"), (50, "a"), (400, "a")], "s bigint, k string").select(F.timestamp_seconds("s").alias("ts"), "k")
     assert streams.windowed(df, "ts", "1 minute", ["k"], [F.count("*").alias("n")]).count() == 2
     assert sorted(r["n"] for r in streams.sessions(df, "ts", "2 minutes", ["k"]).collect()) == [1, 2]
+
+
+def test_two_step_groups_of_signed_zeros_and_nulls(spark):
+    engine = Engine(spark)
+    engine.register("t", spark.createDataFrame([(0.0, "a;b", 1), (-0.0, "a;c", 2), (None, "a;b", 4)], "k double, stack string, n bigint"))
+    df = engine.table("t")
+    df["period"] = 10
+    out = df.groupby("k").agg(p=("stack", "n", "period", "pprof"), n=("n", "sum")).spark().collect()
+    assert sorted(r["n"] for r in out) == [3, 4] and all(r["p"] for r in out)
+    assert len(df.agg(p=("stack", "n", "period", "pprof")).spark().collect()) == 1
+
+
+def test_flags_hold_for_one_run(spark):
+    engine = Engine(spark)
+    engine.register("t", spark.range(50).withColumnRenamed("id", "x"))
+    script = "import q\ndf = q.DataFrame('t')\nq.display(df.groupby('x').agg(n=('x', q.count)), 'a')\n"
+    assert engine.run("#q:set max_output_rows_per_table=3\n" + script)["a"].count() == 3
+    assert engine.run(script)["a"].count() == 50 and not engine.plans
+    engine.run("#q:set explain=true\n" + script)
+    assert "HashAggregate" in engine.plans["a"] and "isFinalPlan=true" not in engine.plans["a"]
+    engine.run("#q:set analyze=true\n" + script)
+    assert "isFinalPlan=true" in engine.plans["a"]

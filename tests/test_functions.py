@@ -1,3 +1,5 @@
+import json
+import re
 import math
 
 import pytest
@@ -91,3 +93,26 @@ def test_pprof():
 
     assert base64.b64decode(profile(["a;b", "a;c"], [1, 2], [10, 10]))
     assert profile(["a"] * 2, [1, 2], [10, 11]).startswith("Error")
+
+
+def test_redaction_of_overlapping_finds():
+    from quillstream.functions import pii
+
+    tag = lambda n, pattern: (n, re.compile(pattern), pii.ANY)
+    kept = pii.TAGGERS
+    try:
+        pii.TAGGERS = [tag("A", "aaa111"), tag("B", "11bbbb22"), tag("C", "22ccc")]
+        assert pii.redact("x aaa111bbbb22ccc y") == "x aaa1<REDACTED_B>ccc y"
+        pii.TAGGERS = [tag("A", "aaa11111"), tag("B", "11bb22"), tag("C", "22cccccc")]
+        assert pii.redact("x aaa11111bb22cccccc y") == "x <REDACTED_A>bb<REDACTED_C> y"
+    finally:
+        pii.TAGGERS = kept
+
+
+def test_path_clusters_of_parts():
+    from quillstream.functions.paths import build_clusters, merge_clusters
+
+    paths = [f"/a/{i}/x" for i in range(20)] + [f"/b/{i}" for i in range(3)] + ["/c/d/e/f"]
+    whole = json.loads(build_clusters(sorted(paths)))
+    parts = json.loads(merge_clusters([build_clusters(sorted(paths[i::3])) for i in range(3)]))
+    assert {x["c"] for x in whole} == {x["c"] for x in parts} and merge_clusters([build_clusters(paths)]) == build_clusters(paths)
