@@ -39,9 +39,15 @@ SEGMENT = 50_000
 BATCH_WORDS = 400_000
 LEXICON = 150
 
-# Letters alone: \w also has fractions, superscripts and the like.
-OTHER = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-words_of = re.compile(rf"[^\W\d_{OTHER}]+").findall
+#: Word characters that are neither letters nor digits, such as fractions and superscripts.
+OTHER = frozenset(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_plain = re.compile(r"[^\W\d_]+").findall
+_strict = re.compile(rf"[^\W\d_{''.join(sorted(OTHER))}]+").findall
+
+
+def words_of(text: str) -> list[str]:
+    """The runs of letters."""
+    return _plain(text) if text.isascii() or OTHER.isdisjoint(text) else _strict(text)
 
 
 @dataclass(frozen=True)
