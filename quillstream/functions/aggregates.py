@@ -56,11 +56,17 @@ def count(v: Value) -> Column:
 
 @define("quantiles", ((FLOAT64,), STRING), ((INT64,), STRING), aggregate=True)
 def quantiles(v: Value) -> Column:
-    """Seven quantiles as JSON: a mergeable sketch whose rank error is at most one in ten thousand."""
+    """Seven quantiles as JSON. Over streams they are a mergeable sketch's, with a rank error of at most one in ten thousand;
+    elsewhere the aggregation puts ``ranked_quantiles`` in its place."""
     found = F.percentile_approx(v.col.cast("double"), list(QUANTILES.values()), 10_000)
     return F.to_json(F.struct(*[F.get(found, F.lit(i)).alias(name) for i, name in enumerate(QUANTILES)]))
 
 
+def ranked_quantiles(value: Column, upto: Column, of: Column) -> Column:
+    """The exact quantiles as JSON: the least values whose rows, with those of all lesser ones (``upto``), are that share of the group's (``of``)."""
+    return F.to_json(F.struct(*[F.min(F.when(upto * 100 >= of * round(100 * p), value)).alias(name) for name, p in QUANTILES.items()]))
+
+
 @define("sample", *ALL, aggregate=True)
 def sample(v: Value) -> Column:
     """A random value of the group: that of the row with the largest draw, a column that the aggregation adds first."""

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.aggregates import ranked_quantiles
 from ..functions.core import BOOLEAN, REGISTRY, TIME64NS, CompileError, Function, Value, lift, zero
 from ..plans.timeparse import parse_duration
 
@@ -196,7 +197,7 @@ class Frame:
         keys = list(self._group)
         if not outputs and not keys:
             raise CompileError("agg needs outputs or a groupby")
-        aggs, types, drawn, stepped = [], {c: self._types[c] for c in keys}, False, {}
+        aggs, types, drawn, stepped, ranked = [], {c: self._types[c] for c in keys}, False, {}, {}
         for name, spec in outputs.items():
             if not isinstance(spec, tuple) or len(spec) < 2:
                 raise CompileError(f"{name} must be a tuple of columns and a function")
@@ -207,8 +208,11 @@ class Frame:
                 raise CompileError(f"{name}: the last part must be an aggregate function")
             if not all(isinstance(c, (str, Value)) for c in inputs):
                 raise CompileError(f"{name}: all but the last part must be columns")
-            v = function(*[self._column(c) if isinstance(c, str) else c for c in inputs])
-            if function.merge:
+            values = [self._column(c) if isinstance(c, str) else c for c in inputs]
+            v = function(*values)
+            if function.name == "quantiles" and not self._df.isStreaming:
+                ranked[name] = values[0].col
+            elif function.merge:
                 stepped[name] = (v.col, function.merge)
             else:
                 aggs.append(v.named(name))
@@ -223,7 +227,9 @@ class Frame:
         df = rows.groupBy(*by).agg(*aggs) if aggs and by else rows.agg(*(aggs or [F.count(F.lit(1)).alias("__n")])) if aggs or not by else rows.select(*by).distinct()
         for name, (part, merge) in stepped.items():
             df = self._stepped(df, rows, by, name, part, merge)
-        if stepped:
+        for name, value in ranked.items():
+            df = self._ranked(df, rows, by, name, value)
+        if stepped or ranked:
             df = df.select(*[F.col(f"`{c}`") for c in types])
         return self._with(df, types, blocking=True)
 
@@ -245,6 +251,23 @@ class Frame:
         merged = parts.groupBy(*names).agg(merge(F.col("__p")).alias("__merged"))
         return grouped.join(merged, same(keys, names), "left").select(*[F.col(f"`{c}`") for c in df.columns if c != name], F.col("__merged").alias(name))
 
+    @staticmethod
+    def _ranked(df: DataFrame, rows: DataFrame, by: list, name: str, value: Column) -> DataFrame:
+        """With the exact quantiles of each group: its distinct values are counted, sorted and summed up in order.
+
+        Sorting spills to disk, so no group has to fit in memory; but the distinct values of one group are sorted by one task.
+        """
+        grouped = df.select("*", *[F.col(f"`{c}`").alias(f"__g{i}") for i, c in enumerate(df.columns[: len(by)])] or [F.lit(0).alias("__g0")])
+        by = by or [F.lit(0)]
+        names = [F.col(f"__k{i}") for i in range(len(by))]
+        counted = rows.select(*[c.alias(f"__k{i}") for i, c in enumerate(by)], value.cast("double").alias("__v")).where("__v IS NOT NULL").groupBy(*names, "__v").agg(F.count(F.lit(1)).alias("__n"))
+        group = Window.partitionBy(*names)
+        upto = F.sum("__n").over(group.orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        placed = counted.select(*names, "__v", upto.alias("__upto"), F.sum("__n").over(group).alias("__of"))
+        found = placed.groupBy(*names).agg(ranked_quantiles(F.col("__v"), F.col("__upto"), F.col("__of")).alias("__found"))
+        same = reduce(lambda x, y: x & y, [F.col(f"__g{i}").eqNullSafe(c) for i, c in enumerate(names)])
+        return grouped.join(found, same, "left").select(*[F.col(f"`{c}`") for c in df.columns if c != name], F.coalesce("__found", F.lit("{}")).alias(name))
+
     # --- sets -----------------------------------------------------------------------------------------------------
 
     def append(self, others: Frame | list[Frame], ordered: bool = False) -> Frame:

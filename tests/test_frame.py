@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,6 +113,22 @@ def test_quantiles(engine):
     assert 6 <= rows(out[["p50"]])[0][0] <= 13
 
 
+def test_quantiles_of_large_groups_are_exact(spark):
+    """Ties, nulls, a group of nulls alone, and groups with more rows than the accuracy of a sketch."""
+    rows_of = {"a": [(i * 7919) % 45_007 / 4 for i in range(45_007)], "b": [float(i % 3) for i in range(30_000)], None: [2.5], "d": [None]}
+    table = spark.createDataFrame([(g, v) for g, values in rows_of.items() for v in [*values, None]], "g string, v double")
+    engine = Engine(spark)
+    engine.register("many", table)
+    for by, groups in (("g", rows_of), (None, {0: sum(rows_of.values(), [])})):
+        df = engine.table("many")
+        out = (df.groupby(by) if by else df).agg(n=("v", A["count"]), q=("v", A["quantiles"])).spark()
+        found = {r["g"] if by else 0: json.loads(r["q"]) for r in out.collect()}
+        assert found.keys() == groups.keys()
+        for g, values in groups.items():
+            known = sorted(v for v in values if v is not None)
+            assert found[g] == {f"p{p:02}": known[max(0, -(-p * len(known) // 100) - 1)] for p in (1, 10, 25, 50, 75, 90, 99) if known}
+
+
 def test_script(engine):
     script = """
 import q
