@@ -16,8 +16,9 @@ linked fingerprints, and its members go into the narrower buckets of the next ro
 more than 2048 fingerprints, so this ends. Components come from large-star/small-star rounds over tables in the shared
 folder; links and labels never reach the driver.
 
-``keep_one`` links texts at a Jaccard similarity of 0.8 on five-word shingles. Such pairs differ in four to fifteen bits, far
-beyond what covering tables can reach (2^(radius+1) - 1 of them), so there an exact set join takes their place: shingles have
+``keep_one`` links texts at a Jaccard similarity of 0.8 on five-word shingles. Texts whose fingerprints are linked are compared
+by their shingle sets, as unlike texts of one template can have near fingerprints. Other pairs at 0.8 differ in four to fifteen bits, far
+beyond what covering tables can reach (2^(radius+1) - 1 of them), so an exact set join finds these: shingles have
 one order, rare ones first, and two texts of n shingles each at similarity s share one of the first n - ceil(s n) + 1 of each.
 Texts meet in a bucket for every such shingle, and are a pair if the places of the shingle leave room for enough shared ones
 from there on (there is such a bucket, that of the first one that they share). Of larger buckets each member is first compared with the
@@ -461,10 +462,23 @@ def _verified(pairs: DataFrame, prefixes: DataFrame, keyed: DataFrame, rows: Dat
     return found
 
 
-def similar(marked: DataFrame, keyed: DataFrame, similarity: float, shingle_words: int) -> DataFrame:
+def fingerprint_pairs(marked: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a > b) of text hashes that connect the texts whose fingerprints the radius connects, equal ones included.
+
+    ``marked`` has (text_hash, fp); of each fingerprint the least text hash stands for it in its links.
+    """
+    texts = materialise(marked.select("fp", "text_hash").distinct(), "fingerprinted")
+    heads = texts.groupBy("fp").agg(F.min("text_hash").alias("head"))
+    equal = texts.join(heads, "fp").where("text_hash <> head").select(F.col("text_hash").alias("a"), F.col("head").alias("b"))
+    left, right = (heads.select(F.col("fp").alias(p), F.col("head").alias(x)) for p, x in (("a", "x"), ("b", "y")))
+    near = links(heads.select("fp"), radius).join(left, "a").join(right, "b").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+    return equal.unionByName(near)
+
+
+def similar(marked: DataFrame, keyed: DataFrame, similarity: float, shingle_words: int, radius: int = 3) -> DataFrame:
     """Links (a > b) between text hashes that connect what all pairs of at least this similarity connect.
 
-    ``marked`` has (id, text_hash), ``keyed`` the texts with their keys (__text, __row, text); rows of one text hash are one text.
+    ``marked`` has (id, text_hash, fp), ``keyed`` the texts with their keys (__text, __row, text); rows of one text hash are one text.
     """
     rows = materialise(marked.groupBy("text_hash").agg(F.min(F.xxhash64("id")).alias("__row")).withColumnRenamed("text_hash", "__text"), "texts")
     texts = keyed.select(F.col("__text").alias("text_hash"), "text")
@@ -477,7 +491,7 @@ def similar(marked: DataFrame, keyed: DataFrame, similarity: float, shingle_word
     prefixes = materialise(texts.mapInArrow(_prefixes(shingle_words, similarity, common[by_hash], counts[by_hash]), PREFIX).dropDuplicates(["text_hash"]), "prefixes")
     members = prefixes.select("text_hash", "n", F.posexplode("prefix").alias("at", "shingle")).select("shingle", "text_hash", "n", "at")
     met = materialise(members.repartition("shingle").sortWithinPartitions("shingle", "text_hash").mapInArrow(_neighbours(similarity), "kind int, a bigint, b bigint, n int, at int"), "met")
-    near = materialise(met.where("kind = 0").select("a", "b").distinct(), "pairs")
+    near = materialise(met.where("kind = 0").select("a", "b").unionByName(fingerprint_pairs(marked, radius)).distinct(), "pairs")
     linked = _verified(near, prefixes, keyed, rows, similarity, shingle_words)
     roots = components(linked)
     members = met.where("kind = 1").select(F.col("a").alias("shingle"), F.col("b").alias("node"), "n", "at").join(roots, "node", "left")
@@ -491,17 +505,17 @@ def similar(marked: DataFrame, keyed: DataFrame, similarity: float, shingle_word
     return linked.unionByName(more)
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, fingerprint_words: int = 3, radius: int = 3) -> DataFrame:
     """The documents without near-duplicates: of each component the row with the smallest id stays, once.
 
-    Links are pairs of at least ``similarity``, and equal texts. Rows of the same id and text are one document.
+    Candidates are texts with fingerprints within ``radius`` bits, and those of the exact join of shingle sets. Links are pairs of at least ``similarity``, and equal texts. Rows of the same id and text are one document.
     All columns are kept as they are. Texts are shuffled to verify pairs, and to keep the survivors.
     """
     keys = ["__text", "__row"]
     text = F.col(text_col).cast("string")
     row = {"__text": F.xxhash64(F.coalesce(text, F.lit(""))), "__row": F.xxhash64(id_col)}
-    marked = materialise(docs.select(F.col(id_col).alias("id"), row["__text"].alias("text_hash")), "marked")
-    links_too = similar(marked, docs.select(*[value.alias(name) for name, value in row.items()], text.alias("text")), similarity, shingle_words)
+    marked = materialise(fingerprints(docs, id_col, text_col, fingerprint_words), "marked")
+    links_too = similar(marked, docs.select(*[value.alias(name) for name, value in row.items()], text.alias("text")), similarity, shingle_words, radius)
     firsts = classes(marked.withColumn("fp", F.col("text_hash")), edges=links_too).select(F.col("first.text_hash").alias("__text"), F.xxhash64("first.id").alias("__row")).distinct()
     stay = whole_rows(docs, **row).join(firsts.hint("shuffle_hash"), keys, "left_semi")
     return stay.dropDuplicates(keys).select("row.*")

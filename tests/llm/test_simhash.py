@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -198,3 +199,45 @@ def test_keep_one_on_templated_pages(spark, pairs):
     assert likeness(sets[0], sets[1]) >= 0.8 > 0.75 > likeness(sets[0], sets[2])
     kept = [r["doc_id"] for r in simhash.keep_one(frame(spark, rows)).select("doc_id").collect()]
     assert sorted(kept) == list(range(0, 2 * pairs, 2))
+
+
+def nothing(schema):
+    """In place of a step over Arrow batches: no rows."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [pa.int32() if x.endswith(" int") else pa.int64() for x in schema.split(", ")]
+
+    def run(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([], k) for k in kinds], names=names)
+
+    return lambda *_: run
+
+
+def test_keep_one_finds_near_copies_by_fingerprints(spark, monkeypatch):
+    """Without the join of shingle sets, the texts within three bits that are alike are still linked, and only these."""
+    monkeypatch.setattr(simhash, "_neighbours", nothing("kind int, a bigint, b bigint, n int, at int"))
+    monkeypatch.setattr(simhash, "_apart", nothing("a bigint, b bigint"))
+    base = prose(1, 3000, 10**6).split()
+    near, spaced = base.copy(), " \n".join(base)
+    near[1500] = "changed"
+    other = prose(2, 300)
+    assert (simhash.fingerprint(" ".join(base)) ^ simhash.fingerprint(" ".join(near))).bit_count() <= 3
+    rows = [(4, " ".join(near)), (2, " ".join(base)), (3, spaced), (9, other), (8, other), (7, prose(3, 300))]
+    assert sorted(r["doc_id"] for r in simhash.keep_one(frame(spark, rows)).collect()) == [2, 7, 8]
+
+
+def test_fingerprint_pairs_like_brute_force(spark):
+    rows = []
+    for i in range(20):
+        base = prose(i, 1500, 10**6).split()
+        for at in range(4):
+            rows.append((len(rows), " ".join([*base[: 300 * at], *["other"] * at, *base[300 * at + at :]])))
+    marked = simhash.fingerprints(frame(spark, rows)).collect()
+    fps = {r["text_hash"]: r["fp"] & (1 << 64) - 1 for r in marked}
+    found = simhash.components(simhash.fingerprint_pairs(spark.createDataFrame(marked), 3)).collect()
+    roots = {r["node"]: r["root"] for r in found}
+    texts = sorted(fps)
+    expected = slow_components([fps[t] for t in texts])
+    groups = lambda root_of: {frozenset(t for t in texts if root_of[t] == x) for x in set(root_of.values())}
+    assert groups({t: roots.get(t, t) for t in texts}) == groups(dict(zip(texts, expected)))
+    assert len(roots) > 2
