@@ -22,7 +22,9 @@ beyond what covering tables can reach (2^(radius+1) - 1 of them), so an exact se
 one order, rare ones first, and two texts of n shingles each at similarity s share one of the first n - ceil(s n) + 1 of each.
 Texts meet in a bucket for every such shingle, and are a pair if the places of the shingle leave room for enough shared ones
 from there on (there is such a bucket, that of the first one that they share). Of larger buckets each member is first compared with the
-head and the one before; what that links is one component already, and then every pair that is still apart is compared.
+head and the one before; what that links is one component already, and then every pair that is still apart is compared. A pair
+goes on only if the parities of 1024 classes of its shingles leave it similar, so pages of one template with few words in their
+slots, which meet in many buckets, don't become tables of all their pairs.
 A pair whose first shingles share too few of each other is dropped by those alone; the exact similarity of the shingle sets
 decides on the rest, so no pair is lost. The order rests on a sample of texts: it sets how many pairs are compared, never
 which are found.
@@ -48,6 +50,7 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 CHUNK = 1 << 17
 ORDER_TEXTS, ORDER_SHINGLES = 20_000, 200_000
+PARITY_BITS = 1024
 
 
 def shingle_hashes(text: str | None, shingle_words: int) -> Iterator[np.ndarray]:
@@ -294,14 +297,19 @@ def _all_shingles(shingle_words: int):
     return run
 
 
-PREFIX = "text_hash bigint, n int, prefix array<bigint>, small array<int>, rest int, last_count bigint, last_key bigint"
+def _parity(shingles: np.ndarray) -> bytes:
+    """Of each hash class the parity of its number of shingles: two sets differ by at least as many shingles as classes."""
+    return np.packbits((np.bincount(shingles & (PARITY_BITS - 1), minlength=PARITY_BITS) & 1).astype(np.uint8)).tobytes()
+
+
+PREFIX = "text_hash bigint, n int, prefix array<bigint>, small array<int>, rest int, last_count bigint, last_key bigint, parity binary"
 
 
 def _prefixes(shingle_words: int, similarity: float, common: np.ndarray, counts: np.ndarray):
     """Over rows (text_hash, text): the first shingles of each text's n, in order of count and hash.
 
     small: 32 bits of each; rest: how many shared shingles they don't show (the ones after them, or with equal 32 bits); last_count and
-    last_key: the last one's place in the order.
+    last_key: the last one's place in the order; parity: whether the number of shingles of each of 1024 hash classes is odd.
     """
 
     def first(shingles: np.ndarray) -> tuple[np.ndarray, int]:
@@ -325,25 +333,33 @@ def _prefixes(shingle_words: int, similarity: float, common: np.ndarray, counts:
                     shingles = shingle_set(text, shingle_words)
                     found, last = first(shingles)
                     small = found.astype(np.uint64).astype(np.uint32).view(np.int32)
-                    for column, x in zip(rows, (len(shingles), found, small, len(shingles) - len(np.unique(small)), last, int(found[-1]) ^ -(1 << 63))):
+                    for column, x in zip(rows, (len(shingles), found, small, len(shingles) - len(np.unique(small)), last, int(found[-1]) ^ -(1 << 63), _parity(shingles))):
                         column.append(x)
                 offsets = ranges_of(np.array([len(x) for x in rows[1]])).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x))) for x in rows[1:3]]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows[0], pa.int32()), *lists, pa.array(rows[3], pa.int32()), *[pa.array(x, pa.int64()) for x in rows[4:]]], names=[x.split()[0] for x in PREFIX.split(", ")])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows[0], pa.int32()), *lists, pa.array(rows[3], pa.int32()), *[pa.array(x, pa.int64()) for x in rows[4:6]], pa.array(rows[6], pa.binary())], names=[x.split()[0] for x in PREFIX.split(", ")])
         release_memory()
 
     return run
 
 
 def _buckets(columns: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[list[np.ndarray]]]:
-    """Turns batches sorted by their first column into the arrays of one bucket after another, a batch's whole buckets at once."""
+    """Turns batches sorted by their first column into the arrays of one bucket after another, a batch's whole buckets at once.
+
+    A binary column of equal lengths becomes rows of 64-bit words.
+    """
+
+    def values(column: pa.Array) -> np.ndarray:
+        if not pa.types.is_binary(column.type):
+            return column.to_numpy()
+        return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(len(column), -1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         held: list[list[np.ndarray]] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [batch.column(i).to_numpy() for i in range(columns)]
+            now = [values(batch.column(i)) for i in range(columns)]
             cuts = np.flatnonzero(now[0][1:] != now[0][:-1]) + 1
             if held and held[-1][0][-1] != now[0][0]:
                 yield [np.concatenate(x) for x in zip(*held)]
@@ -392,10 +408,11 @@ def _neighbours(similarity: float):
 
 
 def _apart(similarity: float):
-    """Over rows (shingle, root, text_hash, n, at) sorted by the first two: the pairs (a, b) of each bucket that no component holds yet."""
+    """Over rows (shingle, root, text_hash, n, at, parity) sorted by the first two: the pairs (a, b) of each bucket that no component
+    holds yet, but for those whose parities show that too many shingles differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shingle, root, text, n, place in _buckets(5)(batches):
+        for shingle, root, text, n, place, parity in _buckets(6)(batches):
             starts = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1]))
             ends = np.append(starts[1:], len(shingle))
             mixed = root[starts] != root[ends - 1]
@@ -408,7 +425,9 @@ def _apart(similarity: float):
                     to = slice(int(after[i - start]), end)
                     if to.start == end:
                         break
-                    others = text[to][_room(similarity, n, place, to, i)]
+                    fits = np.flatnonzero(_room(similarity, n, place, to, i)) + to.start
+                    differ = np.bitwise_count(parity[fits] ^ parity[i]).sum(axis=1, dtype=np.int64)
+                    others = text[fits[differ <= (1 - similarity) / (1 + similarity) * (n[fits] + n[i]) + 1e-6]]
                     if len(others):
                         found.append(np.stack((np.maximum(others, text[i]), np.minimum(others, text[i]))))
                         held += len(others)
@@ -496,6 +515,8 @@ def similar(marked: DataFrame, keyed: DataFrame, similarity: float, shingle_word
     roots = components(linked)
     members = met.where("kind = 1").select(F.col("a").alias("shingle"), F.col("b").alias("node"), "n", "at").join(roots, "node", "left")
     members = members.select("shingle", F.coalesce("root", "node").alias("root"), F.col("node").alias("text_hash"), "n", "at")
+    mixed = members.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("shingle")
+    members = members.join(mixed, "shingle", "left_semi").join(prefixes.select("text_hash", "parity"), "text_hash").select("shingle", "root", "text_hash", "n", "at", "parity")
     apart = members.repartition("shingle").sortWithinPartitions("shingle", "root").mapInArrow(_apart(similarity), "a bigint, b bigint")
     rest = materialise(apart.distinct().join(near, ["a", "b"], "left_anti"), "apart")
     discard(met)
