@@ -8,7 +8,7 @@ from quillstream.llm import sentencepiece_model as model_module
 from quillstream.llm import token_counts
 from quillstream.session import ship
 
-from .common import FOLDER, ODD, frame
+from .common import FOLDER, ODD, frame, prose
 
 PATH = model_module.default_model_path()
 
@@ -109,3 +109,21 @@ def test_bounded_tables_change_nothing(monkeypatch):
     assert [small.encode([t or ""])[0].tolist() for t in texts] == want
     counting = token_counts.CountingTrie(model_module.load(PATH), words_held=3)
     assert [counting.count([t])[0] for t in texts] == list(map(len, want))
+
+
+def test_new_words_go_in_together_and_decode_as_whole_texts(monkeypatch):
+    codec = codec_module.Codec(PATH)
+    texts = [prose(1, 3000), "x  y   z ", " a", "▁▁x▁ y▁z", "\n \n", "é中 \U0001f600 \x00", *codec_module.PROBES, *[t or "" for _, t in ODD], *TEXTS]
+    sent, real = [], codec._encode_words
+    monkeypatch.setattr(codec, "_encode_words", lambda words: sent.extend(words) or real(words))
+    codec.encode(texts[:1])
+    assert len(sent) <= len(set(texts[0].split())) / 10
+    other = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    want = other.encode(texts)
+    for apart in (False, True):  # without a token that begins each word, words go in one by one
+        codec.forget()
+        if apart:
+            codec.marked = codec.marked & False
+        ids, back = codec.code(texts)
+        assert [x.tolist() for x in ids] == want and back == [other.decode(x) for x in want] == [codec.decode(x) for x in want]
+        assert [t == b for t, b in zip(texts, back)] == ["▁" not in t for t in texts]
