@@ -16,17 +16,40 @@ from .core import INT64, STRING, Value, define
 
 DIMENSIONS = 64
 CORESET = 4096
+BLOCK = 1024
+
+
+def nearest_centres(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The number of each point's nearest centre, the first of equals.
+
+    Distances come from a matrix product; where its rounding leaves open which is least, those of the differences decide.
+    """
+    squares = (centres**2).sum(axis=1)
+    near = np.empty(len(points), dtype=np.int64)
+    for at in range(0, len(points), BLOCK):
+        p = points[at : at + BLOCK]
+        own = (p**2).sum(axis=1)
+        rough = squares - 2 * (p @ centres.T) + own[:, None]
+        found = rough.argmin(axis=1)
+        slack = 1e-9 * (own + squares.max())
+        unclear = np.flatnonzero(~((rough <= (rough[np.arange(len(p)), found] + slack)[:, None]).sum(axis=1) == 1))
+        for i in unclear:
+            found[i] = ((p[i] - centres) ** 2).sum(axis=1).argmin()
+        near[at : at + BLOCK] = found
+    return near
 
 
 def _lloyd(points: np.ndarray, weights: np.ndarray, k: int, rounds: int = 25) -> np.ndarray:
     draw = np.random.default_rng(0)
     centres = [points[draw.choice(len(points), p=weights / weights.sum())]]
+    least = np.full(len(points), np.inf)
     for _ in range(1, k):
-        d = np.min([((points - c) ** 2).sum(axis=1) for c in centres], axis=0) * weights
+        least = np.minimum(least, ((points - centres[-1]) ** 2).sum(axis=1))
+        d = least * weights
         centres.append(points[draw.choice(len(points), p=d / d.sum())] if d.sum() > 0 else points[draw.integers(len(points))])
     c = np.array(centres)
     for _ in range(rounds):
-        near = ((points[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1) if len(points) * k < 4_000_000 else np.array([((p - c) ** 2).sum(axis=1).argmin() for p in points])
+        near = nearest_centres(points, c)
         new = np.array([np.average(points[near == i], axis=0, weights=weights[near == i]) if (near == i).any() else c[i] for i in range(k)])
         if np.allclose(new, c):
             break
@@ -41,7 +64,7 @@ def coreset(points: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.nda
         for at in range(0, len(points), CORESET):
             p, w = points[at : at + CORESET], weights[at : at + CORESET]
             c = _lloyd(p, w, min(len(p), CORESET // 8), 3)
-            near = np.array([((x - c) ** 2).sum(axis=1).argmin() for x in p])
+            near = nearest_centres(p, c)
             mass = np.bincount(near, weights=w, minlength=len(c))
             parts.append(c[mass > 0])
             sizes.append(mass[mass > 0])
