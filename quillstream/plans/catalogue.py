@@ -530,7 +530,7 @@ def fn_pii(e):
 
 @query("""SELECT c_custkey, 'n ' || c_custkey || ': <REDACTED_EMAIL> at <REDACTED_IPV4> or <REDACTED_IPV6>, <REDACTED_MAC_ADDR>; <REDACTED_CC_NUMBER>, <REDACTED_SSN>, <REDACTED_IBAN>.' AS clean FROM customer""")
 def fn_pii_made(e):
-    df = e.table("customer", ["c_custkey"])
+    df = e.table("customer", ["c_custkey"]).spread()
     key = call("itoa", df["c_custkey"])
     df["clean"] = call("redact_pii_best_effort", call("add", "n ", key) + ": u" + key + "@mail.example.org at 10.1.2.3 or 2001:db8:0:0:0:0:2:1, 00:1b:44:11:3a:b7; 4111 1111 1111 1111, 123-45-6789, DE89 3704 0044 0532 0130 00.")
     return df

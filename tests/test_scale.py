@@ -1,3 +1,4 @@
+import re
 import time
 
 import numpy as np
@@ -37,3 +38,22 @@ def test_coreset_takes_time_in_proportion_to_its_centres():
     found, weights = ml.coreset(points, np.ones(len(points)))
     assert weights.sum() == len(points) and len(found) <= ml.CORESET
     assert time.process_time() - began < 40
+
+
+def test_costly_redaction_of_one_row_group_is_dealt_to_many_tasks(spark, tmp_path):
+    from quillstream.plans.catalogue import QUERIES
+
+    spark.range(5000).withColumnRenamed("id", "c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    found = QUERIES["fn_pii_made"](spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() >= 8
+    assert sorted(r["c_custkey"] for r in found.collect()) == list(range(5000))
+
+
+def test_addresses_are_looked_for_only_where_they_can_be():
+    from quillstream.functions.pii import TAGGERS, V4, Runs, redact
+
+    assert [type(pattern) for name, pattern, _ in TAGGERS if name in ("IPV4", "IPV6")] == [Runs, Runs]
+    v4 = Runs(r"[0-9.]{7,}", lambda s: s.count(".") >= 3, V4)
+    for text in ("a 1.2.3.4.5.6.7.8 b", "1.2.3 4.5", "300.1.2.3", "x1.2.3.4y255.255.255.2555", "1..2.3.4", ""):
+        assert [m.span() for m in v4.finditer(text)] == [m.span() for m in re.finditer(V4, text)]
+    assert redact("at fe80::1, ::ffff:1.2.3.4 and 1:2:3:4:5:6:7:8 not 1:2:3") == "at <REDACTED_IPV6>, <REDACTED_IPV6> and <REDACTED_IPV6> not 1:2:3"
